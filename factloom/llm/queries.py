@@ -12,6 +12,7 @@ from factloom.llm.encode import encode
 from factloom.llm.mix import capacity, mix, token_counts
 from factloom.llm.oracles import ORACLES
 from factloom.llm.segments import END, repeats
+from factloom.llm.sentences import sentences
 from factloom.llm.survivor import current_value, evidence_lines, learn_precedence, survivor_ids
 from factloom.llm.topn import bucket, ranked, survivors
 from factloom.operators.skew import lookup_join
@@ -119,6 +120,10 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
@@ -130,4 +135,5 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_shares": p8_shares,
     "p8_mix": p8_mix,
+    "p9_found": p9_found,
 }
