@@ -28,6 +28,15 @@ def unit_number(c: Column) -> Column:
     return F.when((c >= 0) & (c <= 1) & ~F.isnan(c), c)
 
 
+def computed(df: DataFrame, keep: Iterable[str], **exprs: Column) -> DataFrame:
+    """The kept columns and new ones, each computed once per row.
+
+    A filter or join on a plain projected column makes the optimizer repeat its whole expression below;
+    it can't do so with what a generator gives out.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*[e.alias(n) for n, e in exprs.items()]))))
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -17,8 +17,12 @@ _PREFIX_PATTERN = "^(" + "|".join(IMPORT_PREFIXES) + ")"
 MAX_VOCABULARY = 10_000
 
 
+#: Blanks that are taken off both ends of a text.
+BLANKS = " \t\n\r\f\v\u00a0\u2007\u202f\u3000\ufeff"
+
+
 def strip_blank(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def module_key(c: Column) -> Column:
@@ -54,16 +58,16 @@ def _slug(term: str) -> str:
     return "".join(ch for ch in term.lower() if ch.isalnum())
 
 
-def nearest_term(c: Column, terms: list[str]) -> Column:
-    """The term a text means: the same slug, else the nearest one.
+def nearest_term(s: Column, terms: list[str]) -> Column:
+    """The term that a slug (of term_slug) means: the one with the same slug, else the nearest one.
 
     Distance is the edit distance on slugs, where a swap of two letters counts once.
-    It has to be under half the text's length.  Ties go to the first term in order.
-    Null, blank and far-off texts give null.
+    It has to be under half the slug's length.  Ties go to the first term in order.
+    Null and empty slugs and far-off ones give null.  Give the slug as a column of its own: it is used
+    once per term where no term is equal.
     """
     if not terms:
         return F.lit(None).cast("string")
-    s = term_slug(c)
     exact = F.create_map(*[x for t in {_slug(t): t for t in reversed(terms)}.items() for x in map(F.lit, t)])
     letters = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
     listed = F.array(*[F.struct(F.lit(_slug(t)).alias("s"), F.lit("".join(sorted(_slug(t)))).alias("l"), F.lit(t).alias("t")) for t in terms])
@@ -73,10 +77,8 @@ def nearest_term(c: Column, terms: list[str]) -> Column:
         swapped = (d == 2) & (F.length(s) == F.length(t["s"])) & (letters(s) == t["l"])
         return F.struct(F.when(swapped, 1).otherwise(d).alias("d"), t["t"].alias("t"))
 
-    best = F.array_min(F.transform(listed, scored))
-    return F.when(F.coalesce(s, F.lit("")) == "", F.lit(None).cast("string")).otherwise(
-        F.coalesce(F.try_element_at(exact, s), F.when(best["d"] * 2 < F.length(s), best["t"]))
-    )
+    near = F.filter(F.array(F.array_min(F.transform(listed, scored))), lambda x: x["d"] * 2 < F.length(s))
+    return F.when(s != "", F.coalesce(F.try_element_at(exact, s), F.get(near, F.lit(0))["t"]))
 
 
 def micros(c: Column) -> Column:

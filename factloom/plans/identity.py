@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.cleaning import IMPORT_PREFIXES, function_number, module_key, name_key, nearest_term, strip_blank, vocabulary
+from factloom.columns import computed
+from factloom.functions.cleaning import IMPORT_PREFIXES, function_number, module_key, name_key, nearest_term, strip_blank, term_slug, vocabulary
 from factloom.operators.skew import lookup_join
 
 
@@ -17,7 +18,7 @@ def function_names(functions: DataFrame) -> DataFrame:
     """
     marked = F.lower(strip_blank(F.col("function_name"))).rlike("^(" + "|".join(IMPORT_PREFIXES) + ")")
     return (
-        functions.select(module_key(F.col("module_id")).alias("module"), name_key(F.col("function_name")).alias("name_key"), "function_name", "function_id", marked.alias("marked"))
+        computed(functions, ["function_name", "function_id"], module=module_key(F.col("module_id")), name_key=name_key(F.col("function_name")), marked=marked)
         .where(F.col("module").isNotNull() & F.col("name_key").isNotNull())
         .groupBy("module", "name_key")
         .agg(
@@ -27,9 +28,15 @@ def function_names(functions: DataFrame) -> DataFrame:
     )
 
 
-def key_parts(key: Column) -> dict[str, Column]:
-    """The parts of a key [module::]function::sink::source_category: function, sink, category (null where missing)."""
-    a = F.split(strip_blank(key), r"\s*::\s*")
+def key_array(key: Column) -> Column:
+    return F.split(strip_blank(key), r"\s*::\s*")
+
+
+def key_parts(a: Column) -> dict[str, Column]:
+    """The parts of a split key [module::]function::sink::source_category: function, sink, category (null where missing).
+
+    Give the array as a column of its own (of key_array): it is used often.
+    """
     n = F.size(a)
     led = (n >= 4) & F.get(a, F.lit(0)).rlike(r"(?i)\.[a-z0-9]{2,4}$")
     first = F.when(led, 2).otherwise(1)
@@ -49,20 +56,26 @@ def identified(findings: DataFrame, functions: DataFrame, taxonomy: DataFrame, *
     sinks = vocabulary(taxonomy.where(F.col("kind") == "sink"), "term")
     cats = vocabulary(taxonomy.where(F.col("kind") == "source_category"), "term")
     keyed = F.coalesce(F.col("dedup_key"), F.lit("")).rlike(r"\S")
-    p = key_parts(F.col("dedup_key"))
-    sink = nearest_term(F.when(keyed, p["sink"]).otherwise(F.col("sink")), sinks)
-    cat = nearest_term(F.when(keyed, p["category"]).otherwise(F.col("source_category")), cats)
-    token = F.when(keyed, p["function"])
-    number = function_number(token)
-    rows = findings.select(
-        "id",
-        *carry,
-        module_key(F.col("module")).alias("__m"),
-        F.when(keyed, number).otherwise(F.col("function_id")).alias("__fid"),
-        F.when(keyed & number.isNull(), name_key(token)).alias("__nk"),
-        sink.alias("__sink"),
-        cat.alias("__cat"),
-    ).where(F.col("__m").isNotNull() & F.col("__sink").isNotNull() & F.col("__cat").isNotNull())
+    raw = ["id", *carry, "function_id", "sink", "source_category"]
+    rows = computed(findings, raw, __m=module_key(F.col("module")), __a=F.when(keyed, key_array(F.col("dedup_key"))))
+    p, has = key_parts(F.col("__a")), F.col("__a").isNotNull()
+    rows = computed(
+        rows.where(F.col("__m").isNotNull()),
+        ["id", *carry, "__m", "function_id"],
+        __token=p["function"],
+        __keyed=has,
+        __ss=term_slug(F.when(has, p["sink"]).otherwise(F.col("sink"))),
+        __cs=term_slug(F.when(has, p["category"]).otherwise(F.col("source_category"))),
+    )
+    rows = computed(rows, ["id", *carry, "__m", "__keyed", "__token", "function_id", "__ss", "__cs"], __number=function_number(F.col("__token")))
+    rows = computed(
+        rows,
+        ["id", *carry, "__m"],
+        __fid=F.when(F.col("__keyed"), F.col("__number")).otherwise(F.col("function_id")),
+        __nk=F.when(F.col("__number").isNull(), name_key(F.col("__token"))),
+        __sink=nearest_term(F.col("__ss"), sinks),
+        __cat=nearest_term(F.col("__cs"), cats),
+    ).where(F.col("__sink").isNotNull() & F.col("__cat").isNotNull())
     named = function_names(functions).where(F.col("only_id").isNotNull()).select(F.col("module").alias("__m"), F.col("name_key").alias("__nk"), "only_id")
     out = lookup_join(rows, named, ["__m", "__nk"], "left")
     return out.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.columns import table, unit_number
+from factloom.columns import computed, table, unit_number
 from factloom.functions.cleaning import micros, module_key, name_key
 from factloom.operators.nested import FINDING_CHILDREN, child_tables
 from factloom.operators.skew import fragment_replicate_join, grouped_by_shard
@@ -21,7 +21,7 @@ def pair_results(findings: DataFrame, functions: DataFrame) -> DataFrame:
     Rows without a module or a name, and names that no function of the module has, give no pair.
     Scores that are null or no number from 0 to 1 aren't scored.
     """
-    rows = findings.select(module_key(F.col("module")).alias("module"), name_key(F.col("function_name")).alias("name_key"), unit_number(F.col("score")).alias("score"), micros(F.col("created_at")).alias("created"))
+    rows = computed(findings, [], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")), score=unit_number(F.col("score")), created=micros(F.col("created_at")))
     names = function_names(functions).select("module", "name_key", "function_name")
     rows = rows.where(F.col("module").isNotNull() & F.col("name_key").isNotNull())
     joined = fragment_replicate_join(rows, names, ["module", "name_key"], keep_shard="shard")
@@ -42,7 +42,7 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
 def hot_pairs(findings: DataFrame, functions: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     """Pairs with more than the given share of all rows: (module, function_name)."""
     least = findings.count() * share
-    rows = findings.select(module_key(F.col("module")).alias("module"), name_key(F.col("function_name")).alias("name_key"))
+    rows = computed(findings, [], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")))
     rows = rows.where(F.col("module").isNotNull() & F.col("name_key").isNotNull())
     names = function_names(functions).select("module", "name_key", "function_name")
     joined = fragment_replicate_join(rows, names, ["module", "name_key"], keep_shard="shard")
