@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.columns import table, unit_number
+from factloom.columns import computed, table, unit_number
 from factloom.functions.cleaning import function_number, micros, module_key, name_key, slug, strip_blank
 from factloom.llm.cutoff import cutoffs, valid_interest
 from factloom.llm.encode import encode
@@ -13,10 +13,10 @@ from factloom.llm.mix import capacity, mix, token_counts
 from factloom.llm.oracles import ORACLES
 from factloom.llm.segments import END, repeats
 from factloom.llm.sentences import sentences
-from factloom.llm.survivor import current_value, evidence_lines, learn_precedence, survivor_ids
+from factloom.llm.survivor import current_value, learn_precedence, survivor_ids, with_evidence_lines
 from factloom.llm.topn import bucket, ranked, survivors
 from factloom.operators.skew import lookup_join
-from factloom.plans.identity import IDENTITY, function_names, identified, key_parts
+from factloom.plans.identity import IDENTITY, function_names, identified, key_array, key_parts
 from factloom.session import cut
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -58,7 +58,7 @@ def _trusted(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = _stated(spark, d, "verification_status", "updated_at", "evidence_lines_json")
-    rows = _trusted(spark, d, rows).select("id", *IDENTITY, "trust", micros(F.col("updated_at")).alias("when"), evidence_lines(F.col("evidence_lines_json")).alias("lines"))
+    rows = with_evidence_lines(_trusted(spark, d, rows).withColumn("when", micros(F.col("updated_at"))), "evidence_lines_json", "lines")
     out = survivor_ids(rows, IDENTITY, "id", "when", {"status": "trust", "evidence": "lines"})
     return out.select("first_id", "status_id", "recent_id", "evidence_id")
 
@@ -66,7 +66,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Each group's size, chosen rows and current status, the last by currency reasoning on status and time."""
     rows = _trusted(spark, d, _stated(spark, d, "verification_status", "updated_at", "evidence_lines_json"))
-    rows = cut(rows.select("id", *IDENTITY, "trust", "status", micros(F.col("updated_at")).alias("when"), evidence_lines(F.col("evidence_lines_json")).alias("lines")))
+    rows = with_evidence_lines(rows.withColumn("when", micros(F.col("updated_at"))), "evidence_lines_json", "lines")
+    rows = cut(rows.select("id", *IDENTITY, "trust", "status", "when", "lines"))
     values = [r[0] for r in table(spark, d, "status_trust").select("status").where("status IS NOT NULL").distinct().limit(65).collect()]
     order = learn_precedence(rows, IDENTITY, "status", "when", sorted(values))
     now = current_value(rows, IDENTITY, "status", "when", sorted(values), order)
@@ -75,15 +76,9 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    key = F.col("dedup_key")
-    rows = table(spark, d, "findings").select(
-        "id",
-        module_key(F.col("module")).alias("module"),
-        name_key(F.col("function_name")).alias("name_key"),
-        unit_number(F.col("score")).alias("score"),
-        F.coalesce("function_id", function_number(key_parts(key)["function"])).alias("function_id"),
-    )
-    rows = rows.where("module IS NOT NULL AND name_key IS NOT NULL AND score IS NOT NULL").withColumn("bucket", bucket(F.col("score")))
+    f = computed(table(spark, d, "findings"), ["id", "function_id", "score", "module", "function_name"], a=key_array(F.col("dedup_key")))
+    f = computed(f, ["id"], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")), score=unit_number(F.col("score")), function_id=F.coalesce("function_id", function_number(key_parts(F.col("a"))["function"])))
+    rows = f.where("module IS NOT NULL AND name_key IS NOT NULL AND score IS NOT NULL").withColumn("bucket", bucket(F.col("score")))
     names = function_names(table(spark, d, "module_functions")).select("module", "name_key", "only_id")
     best = survivors(rows, ["module", "name_key"], "bucket", 3, names)
     best = best.withColumn("function_id", F.coalesce("function_id", "only_id")).select("id", "module", "name_key", "score", "function_id")
@@ -97,7 +92,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "scan_runs").select(run("run_id").alias("run"), F.unix_micros("started_at").alias("started")).where("run IS NOT NULL AND run <> ''").groupBy("run").agg(F.min("started").alias("started"))
     rows = _stated(spark, d, "run_id", "created_at").withColumn("run", run("run_id"))
     text = F.concat_ws("\x01", *IDENTITY)
-    rows = lookup_join(rows, runs, ["run"]).select("id", F.regexp_replace(text, END, "").alias("stated"), F.struct("started", "run").alias("batch"), micros(F.col("created_at")).alias("created"))
+    rows = lookup_join(rows, runs, ["run"]).select("id", F.translate(text, END, "").alias("stated"), F.struct("started", "run").alias("batch"), micros(F.col("created_at")).alias("created"))
     pairs = repeats(cut(rows), "stated", ["batch", "created"], "id")
     return pairs.select(F.least("first_id", "id").alias("id_a"), F.greatest("first_id", "id").alias("id_b"))
 

@@ -11,25 +11,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.columns import fresh
+
 #: Values whose order can be learned; the learned table has at most the square of it.
 MAX_VALUES = 64
 
 _EARLIEST = -(2**63)
 
 
-def evidence_lines(c: Column) -> Column:
-    """How many non-blank strings a JSON text lists: 0 for null, blank and broken texts.
+def with_evidence_lines(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The table with a count of the non-blank strings that a JSON text lists, in place of that text.
 
-    JSON in a JSON string is read as JSON; a lone string is one line.
+    0 for null, blank and broken texts.  JSON in a JSON string is read as JSON; a lone string is one line.
+    Each step is a column of its own, so that every text is parsed once.
     """
-    v = F.try_parse_json(c)
-    text = F.try_variant_get(v, "$", "string")
-    is_text = F.schema_of_variant(v) == "STRING"
-    within = F.when(is_text, F.try_parse_json(text))
-    array = F.try_variant_get(F.when(is_text, within).otherwise(v), "$", "array<variant>")
-    held = F.filter(array, lambda x: (F.schema_of_variant(x) == "STRING") & F.try_variant_get(x, "$", "string").rlike(r"\S"))
-    lone = F.when(is_text & (within.isNull() | (F.schema_of_variant(within) == "STRING")) & text.rlike(r"\S") & ~text.rlike(r"^\s*[\[{]"), 1)
-    return F.coalesce(F.when(array.isNotNull(), F.size(held)), lone, F.lit(0)).cast("int")
+    v, t, w = fresh("__v", df), fresh("__t", df), fresh("__w", df)
+    is_text = F.schema_of_variant(F.col(v)) == "STRING"
+    df = df.withColumn(v, F.try_parse_json(column)).withColumn(t, F.when(is_text, F.try_variant_get(v, F.lit("$"), "string")))
+    df = df.withColumn(w, F.when(F.col(t).isNull(), F.col(v)).otherwise(F.try_parse_json(t)))
+    lines = F.try_variant_get(w, F.lit("$"), "array<variant>")
+    held = F.filter(lines, lambda x: F.coalesce(F.try_variant_get(x, F.lit("$"), "string").rlike(r"\S") & (F.schema_of_variant(x) == "STRING"), F.lit(False)))
+    lone = F.when(F.col(t).rlike(r"\S") & ~F.col(t).rlike(r"^\s*[\[{]") & (F.col(w).isNull() | (F.schema_of_variant(F.col(w)) == "STRING")), 1)
+    count = F.size(held)  # -1 where there is no array
+    return df.withColumn(name, F.greatest(F.when(count >= 0, count).otherwise(F.coalesce(lone, F.lit(0))), F.lit(0)).cast("int")).drop(v, t, w, column)
 
 
 def best(rank: Column | None, when: Column, ident: Column, *carry: Column) -> Column:
