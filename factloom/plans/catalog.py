@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.plans import problems
+from factloom.plans import facts, findings, graphs, problems
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "hub_rank"
 
-_MODULES = (problems,)
+_MODULES = (problems, facts, findings, graphs)
 
 
 def queries() -> dict:
