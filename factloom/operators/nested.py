@@ -154,13 +154,15 @@ class _Empty:
     __slots__ = ()
 
 
-EMPTY = _Empty()
+#: The values of {} and [], which have no leaves.
+EMPTY, EMPTY_LIST = _Empty(), _Empty()
 
 
 def triples(value, repeated: frozenset[Path]) -> Iterator[tuple[Path, tuple[int, ...], object]]:
     """(path, ordinals, scalar) of each leaf, in no particular order.
 
-    A lone value at the path of a repeated element is an array of one.  An empty object gives EMPTY.
+    A lone value at the path of a repeated element is an array of one.  Empty objects and arrays give
+    EMPTY and EMPTY_LIST.
     """
     stack = [((), (), value)]
     while stack:
@@ -168,6 +170,8 @@ def triples(value, repeated: frozenset[Path]) -> Iterator[tuple[Path, tuple[int,
         v = _inner(v)
         below = (*path, EACH)
         if isinstance(v, list):
+            if not v:
+                yield path, at, EMPTY_LIST
             for i, x in enumerate(v):
                 stack.append((below, (*at, i), x))
         elif below in repeated:
@@ -198,6 +202,18 @@ def pivot(rows: Iterator[tuple[Path, tuple[int, ...], object]]) -> dict[Path, di
     tables: dict[Path, dict[tuple[int, ...], dict[Path, object]]] = {}
     cut: list[tuple[Path, tuple[int, ...]]] = []
     length: dict[Path, int] = {}
+
+    def row_of(path: Path, at: tuple[int, ...]) -> dict[Path, object]:
+        table = tables.get(path)
+        if table is None:
+            table = tables[path] = {}
+        row = table.get(at)
+        if row is None:
+            row = table[at] = {}
+            if len(at) > 1:
+                row_of(path[: _ancestor(path[:-1])], at[:-1])
+        return row
+
     for path, at, v in rows:
         n = length.get(path)
         if n is None:
@@ -206,32 +222,19 @@ def pivot(rows: Iterator[tuple[Path, tuple[int, ...], object]]) -> dict[Path, di
             continue
         rel = path[n:]
         if v is None and not rel:
+            if len(at) > 1:
+                row_of(path[: _ancestor(path[:-1])], at[:-1])
             continue
         if rel == ("_truncated",):
             cut.append((path[:n], at))
-        table = tables.get(path[:n])
-        if table is None:
-            table = tables[path[:n]] = {}
-        row = table.get(at)
-        if row is None:
-            row = table[at] = {}
-        if v is not EMPTY:
+        row = row_of(path[:n], at)
+        if v is not EMPTY and v is not EMPTY_LIST:
             row[rel] = v
     for path, at in cut:
         tables[path].pop(at, None)
     return tables
 
 
-def _parents(tables: dict, paths: Sequence[Path]) -> None:
-    """Give each parent element of a row a row of its own (it may have no scalar of its own)."""
-    for path in sorted(tables, key=len, reverse=True):
-        up = path[: _ancestor(path[:-1])]
-        if up:
-            have = tables.setdefault(up, {})
-            for at in tables[path]:
-                have.setdefault(at[:-1], {})
-
-
 def _text(v) -> str | None:
     if v is None or isinstance(v, str):
         return v
@@ -264,7 +267,6 @@ class Flattener:
             return
         found = list(triples(value, self.repeated))
         tables = pivot(iter(found))
-        _parents(tables, list(self.where))
         shown: set[tuple[Path, tuple[int, ...]]] | None = None
         for path, (name, rather) in self.where.items():
             if path not in tables:
@@ -334,7 +336,7 @@ def triple_table(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
                     take.append(i)
                     paths.append(".".join(p))
                     at.append(list(o))
-                    values.append(None if v is EMPTY else _text(v))
+                    values.append(None if isinstance(v, _Empty) else _text(v))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(paths, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.string())], names=schema.names)
 
     return df.select(id_col, json_col).mapInArrow(run, schema)

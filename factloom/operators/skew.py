@@ -128,11 +128,12 @@ def fragment_replicate_join(
     salts, hk, arr = shard_table(left, keys, tasks, loads)
     salt = fresh(keep_shard or "__shard", left, right)
     heavy = F.broadcast(salts)  # fewer than 2 * tasks rows
-    spread = F.pmod(F.xxhash64(*[left[c] for c in left.columns]) + F.spark_partition_id(), F.size(arr).cast("bigint"))
+    place = F.xxhash64(*[left[c] for c in left.columns], F.spark_partition_id())  # repeated rows differ by where they lie
+    spread = F.pmod(place, F.size(arr).cast("bigint"))
     lost = F.lit(False)
     for c in keys:
         lost = lost | left[c].isNull()
-    mine = F.when(F.col(arr).isNotNull(), F.element_at(arr, (spread + 1).cast("int"))).when(lost, F.pmod(F.xxhash64(*[left[c] for c in left.columns]), F.lit(4 * tasks)).cast("int")).otherwise(0)
+    mine = F.when(F.col(arr).isNotNull(), F.element_at(arr, (spread + 1).cast("int"))).when(lost, F.pmod(place, F.lit(4 * tasks)).cast("int")).otherwise(0)
     l2 = left.join(heavy, _eq(left, salts, list(zip(keys, hk))), "left").select(*[left[c] for c in left.columns], mine.alias(salt))
     names = {c: (fresh(f"{c}_right", left, right) if c in left.columns else c) for c in right.columns if c not in keys}
     r1 = right.select(*[F.col(c).alias(f"__rk{i}") for i, c in enumerate(keys)], *[F.col(c).alias(n) for c, n in names.items()])

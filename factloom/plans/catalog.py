@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, findings, graphs, problems
+from factloom.plans import facts, findings, graphs, problems, tables
 
 FLAGSHIP = "hub_rank"
 
-_MODULES = (problems, facts, findings, graphs)
+_MODULES = (problems, facts, findings, graphs, tables)
 
 
 def queries() -> dict:
