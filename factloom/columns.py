@@ -18,6 +18,15 @@ def fresh(base: str, *taken: DataFrame | Iterable[str]) -> str:
     return name
 
 
+def own_prefix(*tables: DataFrame) -> str:
+    """A prefix that no column of the tables begins with, for an operator's own columns."""
+    used = [c.lower() for t in tables for c in t.columns]
+    i = 0
+    while any(c.startswith(f"__{i}_") for c in used):
+        i += 1
+    return f"__{i}_"
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty, or only white space."""
     return c.isNull() | ~c.rlike(r"\S")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.columns import fresh
+from factloom.columns import fresh, own_prefix
 
 #: Rows up to which the right side of lookup_join is broadcast; beyond, the sharded join is used.
 BROADCAST_ROWS = 50_000
@@ -66,34 +66,39 @@ def _eq(a: DataFrame, b: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
     return cond
 
 
-def shard_table(left: DataFrame, keys: Sequence[str], tasks: int | None = None, loads: DataFrame | None = None) -> tuple[DataFrame, list[str], str]:
+def shard_table(left: DataFrame, keys: Sequence[str], tasks: int | None = None, loads: DataFrame | None = None, mark: str | None = None) -> tuple[DataFrame, list[str], str]:
     """Heavy keys of a table with the salts of their shards: (table, its key columns, its array column).
 
     A key is heavy if it holds over half of a task's even share of rows, so there are fewer than
     2 * tasks heavy keys whatever the input; only those, and one load per task, reach the driver.
-    loads: rows per key, if already known (key columns and a column 'load').
+    loads: rows per key, if already known (key columns and a column 'load').  mark: begins the table's names.
     """
     spark = left.sparkSession
+    mark = mark or own_prefix(left)
+    load, seed, salts = f"{mark}load", f"{mark}seed", f"{mark}salts"
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = loads if loads is not None else left.where(_all_there(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("load"))
-    k = [f"__hk{i}" for i in range(len(keys))]
-    known = known.select(*[F.col(c).alias(n) for c, n in zip(keys, k)], F.col("load").cast("double").alias("__load"))
-    known = known.withColumn("__seed", F.hash(*k)).persist()
+    k = [f"{mark}h{i}" for i in range(len(keys))]
+    named = [F.col(c).alias(n) for c, n in zip(keys, k)]
+    if loads is not None:
+        known = loads.select(*named, F.col("load").cast("double").alias(load))
+    else:
+        known = left.where(_all_there(keys)).select(*named).groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias(load))
+    known = known.withColumn(seed, F.hash(*k)).persist()
     try:
-        per_task = {r[0]: (r[1], r[2]) for r in known.groupBy(F.pmod(F.hash(*k, F.lit(0)), F.lit(tasks))).agg(F.sum("__load"), F.count(F.lit(1))).collect()}
+        per_task = {r[0]: (r[1], r[2]) for r in known.groupBy(F.pmod(F.hash(*k, F.lit(0)), F.lit(tasks))).agg(F.sum(load), F.count(F.lit(1))).collect()}
         total = sum(x for x, _ in per_task.values())
         share = total / tasks
-        rows = known.where(F.col("__load") > share / 2).collect() if tasks > 1 and total else []
+        rows = known.where(F.col(load) > share / 2).collect() if tasks > 1 and total else []
     finally:
         known.unpersist()
     light = [per_task.get(t, (0.0, 0))[0] for t in range(tasks)]
     for r in rows:  # a heavy key's rows leave the place where its hash had put them
-        light[int(_murmur_int(np.array([0]), r["__seed"])[0]) % tasks] -= r["__load"]
-    plan = [(r["__load"], min(tasks, max(1, -(-int(r["__load"]) // max(1, int(share)))))) for r in rows]
+        light[int(_murmur_int(np.array([0]), r[seed])[0]) % tasks] -= r[load]
+    plan = [(r[load], min(tasks, max(1, -(-int(r[load]) // max(1, int(share)))))) for r in rows]
     bins = pack(plan, light, tasks)
-    schema = known.select(*k).schema.add("__salts", T.ArrayType(T.IntegerType()))
-    data = [(*[r[c] for c in k], [salt_for(r["__seed"], t, tasks) for t in b]) for r, b in zip(rows, bins)]
-    return spark.createDataFrame(data, schema), k, "__salts"
+    schema = known.select(*k).schema.add(salts, T.ArrayType(T.IntegerType()))
+    data = [(*[r[c] for c in k], [salt_for(r[seed], t, tasks) for t in b]) for r, b in zip(rows, bins)]
+    return spark.createDataFrame(data, schema), k, salts
 
 
 def _all_there(keys: Sequence[str]) -> Column:
@@ -125,8 +130,9 @@ def fragment_replicate_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
     tasks = tasks or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts, hk, arr = shard_table(left, keys, tasks, loads)
-    salt = fresh(keep_shard or "__shard", left, right)
+    mark = own_prefix(left, right)
+    salts, hk, arr = shard_table(left, keys, tasks, loads, mark)
+    salt = fresh(keep_shard or f"{mark}shard", left, right)
     heavy = F.broadcast(salts)  # fewer than 2 * tasks rows
     place = F.xxhash64(*[left[c] for c in left.columns], F.spark_partition_id())  # repeated rows differ by where they lie
     spread = F.pmod(place, F.size(arr).cast("bigint"))
@@ -135,14 +141,15 @@ def fragment_replicate_join(
         lost = lost | left[c].isNull()
     mine = F.when(F.col(arr).isNotNull(), F.element_at(arr, (spread + 1).cast("int"))).when(lost, F.pmod(place, F.lit(4 * tasks)).cast("int")).otherwise(0)
     l2 = left.join(heavy, _eq(left, salts, list(zip(keys, hk))), "left").select(*[left[c] for c in left.columns], mine.alias(salt))
-    names = {c: (fresh(f"{c}_right", left, right) if c in left.columns else c) for c in right.columns if c not in keys}
-    r1 = right.select(*[F.col(c).alias(f"__rk{i}") for i, c in enumerate(keys)], *[F.col(c).alias(n) for c, n in names.items()])
-    rk = [f"__rk{i}" for i in range(len(keys))]
-    r2 = r1.join(heavy, _eq(r1, salts, list(zip(rk, hk))), "left").select(*rk, *names.values(), F.explode(F.coalesce(F.col(arr), F.array(F.lit(0)))).alias("__rs"))
+    taken = {c.lower() for c in left.columns}
+    names = {c: (fresh(f"{c}_right", left, right) if c.lower() in taken else c) for c in right.columns if c not in keys}
+    r1 = right.select(*[F.col(c).alias(f"{mark}r{i}") for i, c in enumerate(keys)], *[F.col(c).alias(n) for c, n in names.items()])
+    rk = [f"{mark}r{i}" for i in range(len(keys))]
+    r2 = r1.join(heavy, _eq(r1, salts, list(zip(rk, hk))), "left").select(*rk, *names.values(), F.explode(F.coalesce(F.col(arr), F.array(F.lit(0)))).alias(f"{mark}rs"))
     cond = F.lit(True)
     for c, n in zip(keys, rk):
         cond = cond & (F.col(c) == F.col(n))
-    cond = cond & (F.col(salt) == F.col("__rs"))  # last: salt_for counts on this order of the shuffle's hash
+    cond = cond & (F.col(salt) == F.col(f"{mark}rs"))  # last: salt_for counts on this order of the shuffle's hash
     out = l2.join(r2, cond, how)
     if how in ("left_semi", "left_anti"):
         return out.drop(salt) if not keep_shard else out
@@ -154,8 +161,10 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     n = right.limit(limit + 1).count()
     if n > limit:
         return fragment_replicate_join(left, right, keys, how)
-    names = {c: (fresh(f"{c}_right", left, right) if c in left.columns else c) for c in right.columns if c not in keys}
-    rk = [f"__rk{i}" for i in range(len(keys))]
+    mark = own_prefix(left, right)
+    taken = {c.lower() for c in left.columns}
+    names = {c: (fresh(f"{c}_right", left, right) if c.lower() in taken else c) for c in right.columns if c not in keys}
+    rk = [f"{mark}r{i}" for i in range(len(keys))]
     r = right.select(*[F.col(c).alias(k) for c, k in zip(keys, rk)], *[F.col(c).alias(x) for c, x in names.items()])
     cond = F.lit(True)
     for c, k in zip(keys, rk):
