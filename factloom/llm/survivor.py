@@ -19,6 +19,17 @@ MAX_VALUES = 64
 _EARLIEST = -(2**63)
 
 
+def whole_json(c: Column) -> Column:
+    """A text as a variant if it is one whole JSON value, else null.
+
+    The parser stops after a first whole value; what follows it can be valid inside an array or inside an
+    object, but not inside both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    inside = F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}")))
+    return F.when(inside.isNotNull(), F.try_variant_get(listed, F.lit("$[0]"), "variant"))
+
+
 def with_evidence_lines(df: DataFrame, column: str, name: str) -> DataFrame:
     """The table with a count of the non-blank strings that a JSON text lists, in place of that text.
 
@@ -27,8 +38,8 @@ def with_evidence_lines(df: DataFrame, column: str, name: str) -> DataFrame:
     """
     v, t, w = fresh("__v", df), fresh("__t", df), fresh("__w", df)
     is_text = F.schema_of_variant(F.col(v)) == "STRING"
-    df = df.withColumn(v, F.try_parse_json(column)).withColumn(t, F.when(is_text, F.try_variant_get(v, F.lit("$"), "string")))
-    df = df.withColumn(w, F.when(F.col(t).isNull(), F.col(v)).otherwise(F.try_parse_json(t)))
+    df = df.withColumn(v, whole_json(F.col(column))).withColumn(t, F.when(is_text, F.try_variant_get(v, F.lit("$"), "string")))
+    df = df.withColumn(w, F.when(F.col(t).isNull(), F.col(v)).otherwise(whole_json(F.col(t))))
     lines = F.try_variant_get(w, F.lit("$"), "array<variant>")
     held = F.filter(lines, lambda x: F.coalesce(F.try_variant_get(x, F.lit("$"), "string").rlike(r"\S") & (F.schema_of_variant(x) == "STRING"), F.lit(False)))
     lone = F.when(F.col(t).rlike(r"\S") & ~F.col(t).rlike(r"^\s*[\[{]") & (F.col(w).isNull() | (F.schema_of_variant(F.col(w)) == "STRING")), 1)
