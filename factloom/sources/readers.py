@@ -36,7 +36,7 @@ def function_index(spark: SparkSession, path: str) -> DataFrame:
 
     The module is the file's folder.  A lone 'file' counts as a list of one.  Broken files give no rows.
     """
-    t = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("p"))
+    t = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
     folder = F.regexp_extract("p", r"([^/]+)/[^/]*$", 1)
     e = t.select(folder.alias("module"), F.explode(F.from_json("value", INDEX)).alias("name", "e"))
     files = F.coalesce("e.files", F.when(F.col("e.file").isNotNull(), F.array("e.file")), F.array().cast("array<string>"))
@@ -55,7 +55,7 @@ def by_library(index: DataFrame, library: str | None = None, app_only: bool = Fa
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
     """(module, profile) with the profile as a variant; fields by paths, such as $.scale.function_count."""
-    t = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("p"))
+    t = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
     return t.select(F.regexp_extract("p", r"([^/]+)/[^/]*$", 1).alias("module"), F.try_parse_json("value").alias("profile")).where("profile IS NOT NULL")
 
 
@@ -88,7 +88,7 @@ def stub_procedures(spark: SparkSession, path: str) -> DataFrame:
     The interface id is taken from the first 30 lines (files without one are left out); positions count
     the public methods.  Of several files of an interface the last by path counts.
     """
-    t = spark.read.option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("p"))
+    t = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
     head = F.array_join(F.slice(F.split("value", "\n"), 1, 30), "\n")
     uuid = F.lower(F.regexp_extract(head, r"([0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12})", 1))
     t = t.select("p", "value", uuid.alias("interface_id")).where("interface_id <> ''")
