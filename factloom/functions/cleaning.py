@@ -91,7 +91,7 @@ def micros(c: Column) -> Column:
     epoch = t.rlike(r"^-?\d+(\.\d+)?$")
     zoned = t.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$") & t.rlike(r"\d:\d")
     seconds = F.when(epoch, t).try_cast("decimal(20,6)")
-    iso = F.when(epoch, None).when(zoned, t).otherwise(F.concat(t, F.lit("Z")))
+    iso = F.when(epoch, None).when(zoned, t).when(t.rlike(r":"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("T00:00:00Z")))
     return F.coalesce((seconds * 1_000_000).try_cast("bigint"), F.unix_micros(iso.try_cast("timestamp")))
 
 

@@ -65,9 +65,9 @@ def topology(i: DataFrame) -> DataFrame:
     return i.groupBy(F.lower("interface_id").alias("interface_id")).agg(side(~client).alias("servers"), side(client).alias("clients"), F.min("service_name").alias("service"))
 
 
-def blast_radius(i: DataFrame) -> DataFrame:
-    """(interface_id, sibling): interfaces that share a service or a binary, without itself."""
-    return R.siblings(i.select("interface_id", "service_name", "path"), "interface_id", ["service_name", "path"])
+def blast_radius(i: DataFrame, targets: DataFrame) -> DataFrame:
+    """(interface_id, sibling): interfaces that share a service or a binary with a target (column interface_id), without itself."""
+    return R.siblings(i.select("interface_id", "service_name", "path"), targets, "interface_id", ["service_name", "path"])
 
 
 def client_edges(i: DataFrame, p: DataFrame) -> DataFrame:

@@ -255,22 +255,28 @@ def field_compare(a: DataFrame, b: DataFrame, key: str, fields: Sequence[str]) -
 
 
 def interval_assignment(owners: DataFrame, items: DataFrame, within: str, order: str, size: str, position: str) -> DataFrame:
-    """Ordered items cut into consecutive ranges, one per owner, by the owners' sizes; items beyond all ranges are left out."""
-    hi = F.sum(size).over(W.partitionBy(within).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    o = owners.withColumn("__hi", hi).withColumn("__lo", F.col("__hi") - F.col(size))
-    i = items.withColumnRenamed(within, "__w")
-    return o.join(i, (F.col(within) == F.col("__w")) & (F.col(position) >= F.col("__lo")) & (F.col(position) < F.col("__hi"))).drop("__w", "__lo", "__hi")
+    """Ordered items cut into consecutive ranges, one per owner, by the owners' sizes; items beyond all ranges are left out.
 
+    One sorted pass per group over owners' starts and items, instead of a join on a range.
+    """
+    o_cols, i_cols = [c for c in owners.columns if c != within], [c for c in items.columns if c != within]
+    hi = F.sum(size).over(W.partitionBy(within).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    o = owners.where(F.col(size) > 0).withColumn("__hi", hi)
+    o = o.select(F.col(within), (F.col("__hi") - F.col(size)).cast("bigint").alias("__at"), F.lit(0).alias("__kind"), F.struct("__hi", *o_cols).alias("__o"))
+    i = items.select(F.col(within), F.col(position).cast("bigint").alias("__at"), F.lit(1).alias("__kind"), F.struct(*i_cols).alias("__i"))
+    line = W.partitionBy(within).orderBy("__at", "__kind").rowsBetween(W.unboundedPreceding, 0)
+    both = o.unionByName(i, allowMissingColumns=True).withColumn("__o", F.last("__o", ignorenulls=True).over(line))
+    found = both.where((F.col("__kind") == 1) & (F.col("__at") < F.col("__o.__hi")))
+    return found.select(within, *[F.col(f"__o.{c}").alias(c) for c in o_cols], *[F.col(f"__i.{c}").alias(c) for c in i_cols if c not in o_cols])
 
-def siblings(df: DataFrame, key: str, parents: Sequence[str]) -> DataFrame:
-    """(key, sibling) of rows that share any parent value, each pair of keys once, none with itself.
 
-    For dimension tables: a parent's rows are paired, so parents have to be small.
-    """
+def siblings(df: DataFrame, targets: DataFrame, key: str, parents: Sequence[str]) -> DataFrame:
+    """(key, sibling): rows that share any parent value with a target (column `key`), each pair once, none with itself."""
     pairs = []
     for p in parents:
-        a = df.select(key, F.col(p).alias("__p")).where(F.col(p).isNotNull())
-        pairs.append(a.join(a.select(F.col(key).alias("sibling"), "__p"), "__p").where(F.col(key) != F.col("sibling")).select(key, "sibling"))
+        all_ = df.select(F.col(key).alias("sibling"), F.col(p).alias("__p")).where(F.col(p).isNotNull()).distinct()
+        mine = df.join(targets.select(key).distinct(), key, "left_semi").select(key, F.col(p).alias("__p")).distinct()
+        pairs.append(mine.join(all_, "__p").where(F.col(key) != F.col("sibling")).select(key, "sibling"))
     return reduce(DataFrame.union, pairs).distinct()
 
 

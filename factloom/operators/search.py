@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 EXACT, PREFIX, BOUNDARY, INSIDE = 1.0, 0.85, 0.75, 0.6
 WEIGHT, APP, CODE, EXPORT, DANGER = 0.5, 0.15, 0.10, 0.10, 0.05
 BONUS, MOST_BONUS = 0.05, 0.15
+#: Texts that resolve() may have to look for inside names; each is tried on every name.
+MOST_WANTED = 1_000
 
 
 def substring_quality(text: Column, query: str) -> Column:
@@ -144,7 +146,9 @@ def resolve(names: DataFrame, wanted: DataFrame) -> DataFrame:
     by_id = w.join(n, F.col("__id") == F.col("id")).select("wanted", "module", "name", F.lit("id").alias("how"), F.lit(0).alias("p"))
     exact = w.join(n, F.col("__w") == F.col("__low")).select("wanted", "module", "name", F.lit("exact"), F.lit(1))
     rest = w.join(by_id.select("wanted").union(exact.select("wanted")).distinct(), "wanted", "left_anti")
-    part = n.join(F.broadcast(rest.limit(1000)), F.contains(F.col("__low"), F.col("__w")))
+    if rest.limit(MOST_WANTED + 1).count() > MOST_WANTED:
+        raise ValueError(f"more than {MOST_WANTED} texts to look for as substrings")
+    part = n.join(F.broadcast(rest), F.contains(F.col("__low"), F.col("__w")))
     one = part.groupBy("wanted").agg(F.count(F.lit(1)).alias("c"), F.min("module").alias("module"), F.min("name").alias("name"))
     partial = one.select("wanted", F.when(F.col("c") == 1, F.col("module")).alias("module"), F.when(F.col("c") == 1, F.col("name")).alias("name"), F.when(F.col("c") == 1, "partial").otherwise("ambiguous"), F.lit(2))
     every = by_id.union(exact).union(partial)

@@ -32,11 +32,12 @@ def distinct_within(df: DataFrame, ts: str, keys: Sequence[str], lateness: str)
     return df.withWatermark(ts, lateness).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
 
 
-def upsert_sink(path: str, key: str, score: str, order: str, touched: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, key: str, score: str, order: str, touched: Sequence[str], keep: int = 2) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that upserts each batch into a versioned parquet table under a path.
 
     Each version is written beside the last one before it counts (its _SUCCESS file), and a batch that
-    runs again writes the same version again, so a restart neither loses nor doubles rows.
+    runs again writes the same version again, so a restart neither loses nor doubles rows.  The last `keep`
+    versions before a new one stay, for its readers and for a batch that runs again.
     """
 
     def versions(spark) -> list[int]:
@@ -54,6 +55,9 @@ def upsert_sink(path: str, key: str, score: str, order: str, touched: Sequence[s
         before = [v for v in versions(spark) if v < number]
         out = store.upsert(spark.read.schema(new.schema).parquet(f"{path}/version={before[-1]}"), new, key, score, touched) if before else new
         out.write.mode("overwrite").parquet(f"{path}/version={number}")
+        fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        for v in before[:-keep]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}"), True)
 
     return run
 
