@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.columns import table
 from factloom.functions import scalar
 from factloom.model import has_value, parsed_functions, xref_name
+from factloom.operators import graph, layouts, modules
 from factloom.operators import relational as R
 
 BIG = "bigint"
@@ -431,3 +432,54 @@ def registry_cube(spark, d):
 def registry_rollup(spark, d):
     r = registry(spark, d).withColumnRenamed("file_extension", "ext")
     return R.rollup_counts(r, ["base_dir", "ext"]).withColumn("g", F.col("g").cast(BIG))
+
+
+@query("""SELECT regexp_extract(function_name, '^(.*)::[^:]+$', 1) AS class, count(*) AS methods, count(DISTINCT lower(module_id)) AS modules FROM module_functions WHERE function_name LIKE '%::%' GROUP BY 1""")
+def class_members(spark, d):
+    f = fn(spark, d).where("function_name LIKE '%::%'")
+    return f.groupBy(F.regexp_extract("function_name", "^(.*)::[^:]+$", 1).alias("class")).agg(F.count(F.lit(1)).alias("methods"), F.count_distinct("module").alias("modules"))
+
+
+@query()
+def field_layouts(spark, d):
+    return layouts.confidence(layouts.fields(layouts.accesses(fn(spark, d))))
+
+
+@query(
+    "WITH"
+    + _DEF
+    + """, n AS (SELECT DISTINCT x.function_name AS api FROM (SELECT unnest(outbound) AS x FROM f)), p AS (SELECT substr(term, 1, 5) AS prefix, min(sink_category) AS class FROM taxonomy WHERE kind = 'sink' GROUP BY 1)
+SELECT api, max_by(class, length(prefix)) AS class FROM n LEFT JOIN p ON starts_with(api, prefix) GROUP BY 1"""
+)
+def prefix_classes(spark, d):
+    n = fn(spark, d).select(F.explode("outbound").alias("x")).select(xref_name(F.col("x")).alias("api")).distinct()
+    p = table(spark, d, "taxonomy").where("kind = 'sink'").groupBy(F.substring("term", 1, 5).alias("prefix")).agg(F.min("sink_category").alias("class"))
+    return modules.classified(n, "api", p)
+
+
+@query(
+    "WITH"
+    + _DEF
+    + """, x AS (SELECT module, lower(x.module_name) AS t, x.function_name AS n FROM (SELECT module, unnest(outbound) AS x FROM f) WHERE x.function_id IS NULL AND coalesce(x.module_name, '') <> ''),
+c AS (SELECT t AS module, n AS name, count(DISTINCT module) AS outside FROM x WHERE module <> t GROUP BY 1, 2)
+SELECT f.module, f.function_id, coalesce(outside, 0) AS outside, CAST(least(1.0, 0.5 + least(0.15, 0.05 * coalesce(outside, 0))) AS DOUBLE) AS score FROM f LEFT JOIN c ON c.module = f.module AND c.name = f.function_name"""
+)
+def cross_module_boost(spark, d):
+    f = fn(spark, d)
+    calls = graph.external(graph.call_edges(f)).select("module", "dst_module", "dst")
+    s = f.select("module", F.col("function_name").alias("name"), "function_id", F.lit(0.5).alias("score"))
+    return modules.caller_boost(s, calls).select("module", "function_id", "outside", "score")
+
+
+@query(
+    """WITH c AS (SELECT lower(module_id) AS module, function_name AS src, list_distinct(regexp_extract_all(substr(decompiled_code, strpos(decompiled_code, '{')), '([A-Za-z_~][\\w:~]*)\\s*\\(', 1)) AS calls FROM module_functions WHERE decompiled_code IS NOT NULL),
+e AS (SELECT DISTINCT module, src, unnest(calls) AS dst FROM c), n AS (SELECT DISTINCT lower(module_id) AS module, function_name FROM module_functions)
+SELECT e.module, count(*) AS edges, count(DISTINCT e.src) AS callers FROM e JOIN n ON n.module = e.module AND n.function_name = e.dst WHERE e.src <> e.dst GROUP BY 1"""
+)
+def internal_call_edges(spark, d):
+    """Calls in code to functions of the same module, by name."""
+    f = fn(spark, d)
+    e = f.where("decompiled_code IS NOT NULL").select("module", F.col("function_name").alias("src"), F.explode(scalar.calls_in(F.col("decompiled_code"))).alias("dst")).distinct()
+    names = f.select("module", F.col("function_name").alias("dst")).distinct()
+    inner = R.lookup_join(e, names, ["module", "dst"], "left_semi").where("src <> dst")
+    return inner.groupBy("module").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("callers"))
