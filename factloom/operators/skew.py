@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from factloom.columns import fresh, own_prefix
 
-#: Rows up to which the right side of lookup_join is broadcast; beyond, the sharded join is used.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes up to which the right side of lookup_join is broadcast; beyond either, the sharded join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16_000_000
 
 
 def _murmur_int(values: np.ndarray, seed: int) -> np.ndarray:
@@ -156,10 +156,29 @@ def fragment_replicate_join(
     return out.select(*left.columns, *names.values(), *([salt] if keep_shard else []))
 
 
+def _width(df: DataFrame) -> Column:
+    """The bytes of a row's values, roughly: texts by length, nested values as JSON, others 8."""
+    total = F.lit(0)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table was counted to have no more rows and bytes than given."""
+    r = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(_width(df).cast("bigint")), F.lit(0))).first()
+    return r[0] <= rows and r[1] <= most_bytes
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a side that is often small: broadcast up to `limit` counted rows, else fragment_replicate_join."""
-    n = right.limit(limit + 1).count()
-    if n > limit:
+    """Join with a side that is often small: broadcast if its rows and bytes were counted to be few, else fragment_replicate_join."""
+    if not is_small(right, limit):
         return fragment_replicate_join(left, right, keys, how)
     mark = own_prefix(left, right)
     taken = {c.lower() for c in left.columns}

@@ -190,8 +190,8 @@ def median_price(spark, d):
     return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY o_totalprice)"), 2).alias("median"))
 
 
-@query()
+@query("""SELECT label, count(*) AS n, round(avg(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 4) AS mean_norm FROM embeddings GROUP BY 1""")
 def vector_label_norms(spark, d):
     e = table(spark, d, "embeddings")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 6).alias("mean_norm"))
+    return e.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(norm), 4).alias("mean_norm"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators.skew import _murmur_int, fragment_replicate_join, grouped_by_shard, lookup_join, pack, salt_for
+from factloom.operators.skew import _murmur_int, fragment_replicate_join, grouped_by_shard, is_small, lookup_join, pack, salt_for
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,8 @@ def test_clashing_names(spark):
     left = spark.createDataFrame([("x", 1, 2, 3)], "k string, __shard int, __salts int, load int")
     right = spark.createDataFrame([("x", 9)], "k string, __shard int")
     assert fragment_replicate_join(left, right, ["k"]).columns == ["k", "__shard", "__salts", "load", "__shard_right"]
+
+
+def test_small_by_rows_and_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000, [1, 2], 1), (None, None, None)], "t string, a array<int>, n int")
+    assert is_small(df, 2, 2000) and not is_small(df, 1, 2000) and not is_small(df, 2, 900) and is_small(df.limit(0), 0, 0)
