@@ -13,7 +13,7 @@ from factloom.llm.mix import capacity, mix, token_counts
 from factloom.llm.oracles import ORACLES
 from factloom.llm.segments import END, repeats
 from factloom.llm.sentences import sentences
-from factloom.llm.survivor import current_value, learn_precedence, survivor_ids, with_evidence_lines
+from factloom.llm.survivor import MAX_VALUES, current_value, declared_precedence, learn_precedence, survivor_ids, topological_rank, with_evidence_lines
 from factloom.llm.topn import bucket, ranked, survivors
 from factloom.operators.skew import lookup_join
 from factloom.plans.identity import IDENTITY, function_names, identified, key_array, key_parts
@@ -51,27 +51,42 @@ def _stated(spark: SparkSession, d: str, *carry: str) -> DataFrame:
     return identified(table(spark, d, "findings"), table(spark, d, "module_functions"), table(spark, d, "taxonomy"), *carry)
 
 
-def _trusted(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
-    trust = table(spark, d, "status_trust").select(slug(F.col("status")).alias("__s"), F.col("status"), "trust").where("__s <> ''").dropDuplicates(["__s"])
-    return lookup_join(rows.withColumn("__s", slug(F.col("verification_status"))), trust, ["__s"], "left").drop("__s")
+def _statuses(spark: SparkSession, d: str) -> tuple[dict[str, str], dict[str, int]]:
+    """Known statuses by slug, and their trust; of several spellings the most trusted counts."""
+    rows = table(spark, d, "status_trust").where("status IS NOT NULL AND trust IS NOT NULL").limit(MAX_VALUES + 1).collect()
+    if len(rows) > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} statuses")
+    best: dict[str, tuple[int, str]] = {}
+    for r in rows:
+        k = "".join(ch for ch in r["status"].lower() if ch.isalnum())
+        best[k] = max(best.get(k, (r["trust"], r["status"])), (r["trust"], r["status"]))
+    return {k: s for k, (_, s) in best.items()}, {s: t for t, s in best.values()}
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
+    """Stated findings with their known status, its rank in the order of trust, their time and lines of evidence."""
+    names, trust = _statuses(spark, d)
     rows = _stated(spark, d, "verification_status", "updated_at", "evidence_lines_json")
-    rows = with_evidence_lines(_trusted(spark, d, rows).withColumn("when", micros(F.col("updated_at"))), "evidence_lines_json", "lines")
-    out = survivor_ids(rows, IDENTITY, "id", "when", {"status": "trust", "evidence": "lines"})
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.lit(None).cast("map<string,string>")
+    rows = computed(rows, ["id", *IDENTITY, "evidence_lines_json"], status=F.try_element_at(known, slug(F.col("verification_status"))), when=micros(F.col("updated_at")))
+    rows = rows.withColumn("rank", topological_rank(F.col("status"), sorted(trust), declared_precedence(trust)))
+    return with_evidence_lines(rows, "evidence_lines_json", "lines"), trust
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = _ranked(spark, d)
+    out = survivor_ids(rows, IDENTITY, "id", "when", {"status": "rank", "evidence": "lines"})
     return out.select("first_id", "status_id", "recent_id", "evidence_id")
 
 
 def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
     """Each group's size, chosen rows and current status, the last by currency reasoning on status and time."""
-    rows = _trusted(spark, d, _stated(spark, d, "verification_status", "updated_at", "evidence_lines_json"))
-    rows = with_evidence_lines(rows.withColumn("when", micros(F.col("updated_at"))), "evidence_lines_json", "lines")
-    rows = cut(rows.select("id", *IDENTITY, "trust", "status", "when", "lines"))
-    values = [r[0] for r in table(spark, d, "status_trust").select("status").where("status IS NOT NULL").distinct().limit(65).collect()]
-    order = learn_precedence(rows, IDENTITY, "status", "when", sorted(values))
-    now = current_value(rows, IDENTITY, "status", "when", sorted(values), order)
-    out = survivor_ids(rows, IDENTITY, "id", "when", {"status": "trust", "evidence": "lines"})
+    rows, trust = _ranked(spark, d)
+    rows = cut(rows)
+    values = sorted(trust)
+    order = learn_precedence(rows, IDENTITY, "status", "when", values)
+    now = current_value(rows, IDENTITY, "status", "when", values, order)
+    out = survivor_ids(rows, IDENTITY, "id", "when", {"status": "rank", "evidence": "lines"})
     return out.join(now, list(IDENTITY), "left").select(*IDENTITY, "n", "first_id", "status_id", "recent_id", "evidence_id", F.col("current").alias("current_status"))
 
 

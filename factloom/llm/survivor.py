@@ -98,6 +98,24 @@ def learn_precedence(rows: DataFrame, keys: Sequence[str], value: str, when: str
     return sorted((a, b) for a in values for b in after[a])
 
 
+def declared_precedence(rank: dict[str, float]) -> list[tuple[str, str]]:
+    """Pairs (earlier, later) of values whose order is given by a number; equal ones stay incomparable."""
+    if len(rank) > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} values")
+    return sorted((a, b) for a in rank for b in rank if rank[a] < rank[b])
+
+
+def topological_rank(value: Column, values: Sequence[str], precedence: Sequence[tuple[str, str]]) -> Column:
+    """1 + how many values come before this one in a closed order; null for other values.
+
+    A value that follows another one has the higher rank, so the highest rank is a topologically latest value.
+    """
+    if not values:
+        return F.lit(None).cast("int")
+    before = {v: 1 + sum(b == v for _, b in precedence) for v in values}
+    return F.try_element_at(F.create_map(*[x for v, n in before.items() for x in (F.lit(v), F.lit(n))]), value)
+
+
 def current_value(rows: DataFrame, keys: Sequence[str], value: str, when: str, values: Sequence[str], precedence: Sequence[tuple[str, str]]) -> DataFrame:
     """(keys, current): the topologically latest known value of each group; null if it has none.
 

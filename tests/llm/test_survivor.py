@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.llm.survivor import current_value, learn_precedence, survivor_ids, with_evidence_lines
+from factloom.llm.survivor import current_value, declared_precedence, learn_precedence, survivor_ids, topological_rank, with_evidence_lines
 
 
 def test_field_by_field(spark):
@@ -41,3 +41,11 @@ def test_no_cycles(spark):
     rows = [(1, "a", 1), (1, "b", 2), (2, "b", 1), (2, "c", 2), (3, "c", 1), (3, "a", 2), (4, "a", 1), (4, "b", 2)]
     order = learn_precedence(spark.createDataFrame(rows, "g int, v string, t bigint"), ["g"], "v", "t", ["a", "b", "c"])
     assert ("a", "b") in order and not any((b, a) in order for a, b in order)
+
+
+def test_ranks_follow_the_order(spark):
+    order = declared_precedence({"a": 0, "b": 10, "c": 10, "d": -5})
+    assert ("d", "c") in order and ("b", "c") not in order
+    df = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("x",), (None,)], "v string")
+    assert [r[0] for r in df.select(topological_rank(F.col("v"), ["a", "b", "c", "d"], order)).collect()] == [2, 3, 3, 1, None, None]
+    assert df.select(topological_rank(F.col("v"), [], [])).first()[0] is None
