@@ -89,9 +89,11 @@ def micros(c: Column) -> Column:
     """
     t = strip_blank(c)
     epoch = t.rlike(r"^-?\d+(\.\d+)?$")
-    zoned = t.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$") & t.rlike(r"\d:\d")
+    dated = t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ]|$)")  # a time of day alone would be taken as today's
+    clock = t.rlike(r"\d:\d")
+    zoned = clock & t.rlike(r"([zZ]|[+-]\d{2}:?\d{2})$")
     seconds = F.when(epoch, t).try_cast("decimal(20,6)")
-    iso = F.when(epoch, None).when(zoned, t).when(t.rlike(r":"), F.concat(t, F.lit("Z"))).otherwise(F.concat(t, F.lit("T00:00:00Z")))
+    iso = F.when(dated & zoned, t).when(dated & clock, F.concat(t, F.lit("Z"))).when(dated, F.concat(t, F.lit("T00:00:00Z")))
     return F.coalesce((seconds * 1_000_000).try_cast("bigint"), F.unix_micros(iso.try_cast("timestamp")))
 
 
