@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -158,3 +159,72 @@ def mangled_parts(names: pd.Series) -> pd.DataFrame:
         scope = [p for p in parts[1:] if p]
         rows.append((scope[0] if scope else None, list(reversed(scope[1:])), parts[0] or None, role if scope else "function"))
     return pd.DataFrame(rows, columns=["class_name", "namespaces", "method", "role"])
+
+
+_PARAMETERS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("name", T.StringType())]))
+
+
+@F.pandas_udf(_PARAMETERS)
+def signature_parameters(signatures: pd.Series) -> pd.Series:
+    """(type, name) of a signature's parameters, by balanced parentheses; the last word is the name, with its stars at the type."""
+
+    def one(t: str | None):
+        if not t or "(" not in t:
+            return None
+        depth, start, parts = 0, 0, []
+        for i, ch in enumerate(t):
+            if ch in "(<[":
+                depth += 1
+                if depth == 1 and ch == "(":
+                    start = i + 1
+            elif ch in ")>]":
+                depth -= 1
+                if not depth and ch == ")":
+                    parts.append(t[start:i])
+                    break
+            elif ch == "," and depth == 1:
+                parts.append(t[start:i])
+                start = i + 1
+        else:
+            return None
+        out = []
+        for p in (p.strip() for p in parts):
+            if not p or p == "void":
+                continue
+            head, _, name = p.rpartition(" ")
+            stars = len(name) - len(name.lstrip("*&"))
+            out.append(((head + " " + name[:stars]).strip() if head else p, name[stars:] if head else None))
+        return out
+
+    return signatures.map(one, na_action="ignore")
+
+
+# Patterns of parameters that carry outside data.
+SURFACE = {
+    "buffer": r"(?i)\b(void|char|byte|uint8_t|_BYTE)\s*\*",
+    "text": r"(?i)\b(wchar_t|LPC?W?STR|PCW?STR|BSTR|std::w?string)\b",
+    "length": r"(?i)\b(size_t|cb\w*|cch\w*|len\w*|\w*size)\b",
+    "handle": r"(?i)\b(HANDLE|SOCKET|HKEY|FILE\s*\*)",
+    "interface": r"\bI[A-Z]\w+\s*\*",
+    "variant": r"(?i)\b(VARIANT|SAFEARRAY|PROPVARIANT)\b",
+}
+
+
+def parameter_surface(signature: Column) -> Column:
+    """A struct of booleans: which kinds of outside data the parameters can carry."""
+    inner = F.coalesce(F.regexp_extract(signature, r"\((.*)\)", 1), F.lit(""))
+    return F.struct(*[inner.rlike(p).alias(n) for n, p in SURFACE.items()])
+
+
+def assigned_from(code: Column, callee: str) -> Column:
+    """Names that are assigned the result of a call of the callee."""
+    return F.array_distinct(F.regexp_extract_all(code, F.lit(rf"(\w+)\s*=\s*(?:\([^()]*\)\s*)?{re.escape(callee)}\s*\("), F.lit(1)))
+
+
+def first_matching(c: Column, patterns: Sequence[tuple[str, str]], otherwise: str = "other") -> Column:
+    """The name of the first pattern that a text matches in any case."""
+    out = None
+    for name, p in patterns:
+        hit = c.rlike(f"(?i){p}")
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return F.coalesce(out, F.lit(otherwise)) if out is not None else F.lit(otherwise)

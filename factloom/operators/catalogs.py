@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,3 +109,31 @@ def permissive(sddl: Column, wide: tuple[str, ...] = ("WD", "AN", "BU", "AU", "I
     ids = lambda kind: F.transform(F.filter(a, lambda x: x["kind"] == kind), lambda x: x["sid"])
     allowed = F.array_intersect(ids("A"), F.array(*map(F.lit, wide)))
     return F.coalesce(F.size(F.array_except(allowed, ids("D"))) > 0, F.lit(False))
+
+
+def methods_matching(methods: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Methods whose name matches a pattern in any case; a bad pattern matches none."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return methods.limit(0)
+    return methods.where(F.col(column).rlike(f"(?i){pattern}"))
+
+
+#: From the worst to the least.
+TIERS = ("critical", "high", "medium", "low")
+
+
+def best_tier(contexts: DataFrame) -> DataFrame:
+    """(server, tier): the worst tier over a server's contexts (server, caller, privileged, remote)."""
+    tier = risk_tier([("critical", F.col("privileged") & F.col("remote")), ("high", F.col("privileged") & (F.col("caller") == "low")), ("medium", F.col("privileged") | F.col("remote"))])
+    place = F.array_position(F.array(*map(F.lit, TIERS)), tier)
+    return contexts.groupBy("server").agg(F.min_by(tier, place).alias("tier"))
+
+
+def flag_score(flags: Sequence[tuple[Column, float]], methods: Column, trivial: Column) -> Column:
+    """The weights of a server's flags and .1 of its methods' number up to 20; 0 if it has only trivial methods."""
+    total = F.lit(0.0)
+    for c, w in flags:
+        total = total + F.when(F.coalesce(c, F.lit(False)), w).otherwise(0.0)
+    return F.when(methods <= trivial, 0.0).otherwise(F.least(F.lit(1.0), total + 0.1 * F.least(methods / 20, F.lit(1.0))))

@@ -159,3 +159,9 @@ def classified(names: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
 def prefixed(c: Column, suffixes: Sequence[str] = ("", "A", "W", "Ex", "ExA", "ExW")) -> Column:
     """The usual variants of a name."""
     return F.transform(F.array(*map(F.lit, suffixes)), lambda s: F.concat(c, s))
+
+
+def import_analysis(imports: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(module, class, names, from_modules, delayed) of imports by the class of their names; unclassified as 'other'."""
+    c = classified(imports, "name", prefixes).withColumn("class", F.coalesce("class", F.lit("other")))
+    return c.groupBy("module", "class").agg(F.count_distinct("name").alias("names"), F.count_distinct("from_module").alias("from_modules"), F.bool_or("delayed").alias("delayed"))

@@ -10,7 +10,7 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -114,6 +114,11 @@ def read_only_sql(statement: str, select_only: bool = True) -> str:
     return statement
 
 
+def safe_select(spark: SparkSession, statement: str, args: Mapping[str, object] | None = None) -> DataFrame:
+    """Run a statement that was checked to only read, with named parameters."""
+    return spark.sql(read_only_sql(statement), args=dict(args or {}))
+
+
 # ---------------------------------------------------------------- pages and top rows
 
 

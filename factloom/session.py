@@ -26,11 +26,13 @@ def build_session(app: str = "factloom", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (local tests)."""
+    """The folder of spark.checkpoint.dir; where that is unset, one of our own in a local session, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 

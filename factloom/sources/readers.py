@@ -98,3 +98,8 @@ def stub_procedures(spark: SparkSession, path: str) -> DataFrame:
     inner = F.trim(F.regexp_extract("m", r"\((.*)\)", 1))
     params = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r",\s*(?![^<]*>)"))
     return m.select("interface_id", "position", F.regexp_extract("m", r"^(\w+)", 1).alias("procedure"), params.alias("parameters"))
+
+
+def file_stats(files: DataFrame) -> DataFrame:
+    """(module, n, bytes, oldest, newest) of discovered files."""
+    return files.groupBy("module").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("modified").alias("oldest"), F.max("modified").alias("newest"))

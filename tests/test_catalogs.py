@@ -60,3 +60,12 @@ def test_privileged(spark):
     servers = spark.createDataFrame([("a",), ("b",)], "server string")
     ctx = spark.createDataFrame([("a", "low", True), ("b", "low", False), ("b", "high", True)], "server string, caller string, privileged boolean")
     assert [r[0] for r in C.privileged(servers, ctx, "low").collect()] == ["a"]
+
+
+def test_servers(spark):
+    m = spark.createDataFrame([("OpenFile",), ("close",)], "name string")
+    assert C.methods_matching(m, "name", "^open").count() == 1 and C.methods_matching(m, "name", "(").count() == 0
+    ctx = spark.createDataFrame([("a", "low", True, False), ("a", "high", False, False), ("b", "high", True, True), ("c", "low", False, False)], "server string, caller string, privileged boolean, remote boolean")
+    assert {r["server"]: r["tier"] for r in C.best_tier(ctx).collect()} == {"a": "high", "b": "critical", "c": "low"}
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(C.flag_score([(F.lit(True), 0.5), (F.lit(None).cast("boolean"), 0.4)], F.lit(10), F.lit(3))) == 0.55 and one(C.flag_score([(F.lit(True), 0.5)], F.lit(3), F.lit(3))) == 0

@@ -21,7 +21,7 @@ def info(spark):
     return spark.createDataFrame(rows, "module string, exports string, imports string")
 
 
-def test_indexes(info):
+def test_indexes(spark, info):
     e, i = M.export_index(info), M.import_index(info)
     s = M.index_summary(e, i).first()
     assert (s["exports"], s["forwarded"], s["imports"], s["edges"]) == (5, 2, 4, 3)
@@ -29,6 +29,8 @@ def test_indexes(info):
     assert M.who_exports(e, "heapalloc").count() == 1 and M.who_imports(i, "ntopen", "NTDLL.dll").count() == 1
     assert {(r["module"], r["from_module"], r["names"], r["delayed"]) for r in M.dependencies(i).collect()} == {("appinfo.dll", "kernel32.dll", 2, False), ("appinfo.dll", "ntdll.dll", 1, True), ("kernel32.dll", "ntdll.dll", 1, False)}
     assert M.consumers(i, "ntdll.dll").count() == 2 and M.suppliers(i, "AppInfo.dll").count() == 2
+    p = spark.createDataFrame([("Nt", "native"), ("Create", "process")], "prefix string, class string")
+    assert {(r["module"], r["class"], r["names"]) for r in M.import_analysis(i, p).collect()} == {("appinfo.dll", "process", 1), ("appinfo.dll", "other", 1), ("appinfo.dll", "native", 1), ("kernel32.dll", "native", 1)}
     c = {}
     for r in M.forwarder_chains(e).orderBy("hop").collect():
         c.setdefault(r["start"], []).append(r["node"])

@@ -165,3 +165,21 @@ def test_parsed_functions_of_nothing(spark):
     assert parsed_functions(spark.createDataFrame([], cols)).count() == 0
     r = parsed_functions(spark.createDataFrame([tuple([None] * 15)], cols)).first()
     assert r["outbound"] == [] and r["loops"] is None
+
+
+def test_signatures(spark):
+    one = lambda col, v: spark.createDataFrame([(v,)], "x string").select(col).first()[0]
+    x = F.col("x")
+    got = one(scalar.signature_parameters(x), "int f(void *a1, std::map<int, char> m, const char **p, void)")
+    assert [tuple(r) for r in got] == [("void *", "a1"), ("std::map<int, char>", "m"), ("const char **", "p")]
+    assert one(scalar.signature_parameters(x), "int f(") is None and one(scalar.signature_parameters(x), "int f()") == [] and one(scalar.signature_parameters(x), None) is None
+    s = one(scalar.parameter_surface(x), "int f(void *buf, size_t n, IFoo *p)")
+    assert s["buffer"] and s["length"] and s["interface"] and not s["text"]
+    assert one(scalar.assigned_from(x, "Get"), "a = Get(1); b = (int)Get (2); c = Got(3); a = Get(4)") == ["a", "b"]
+    assert one(scalar.first_matching(x, [("time", "timed? ?out"), ("memory", "alloc")]), "Allocation failed") == "memory" and one(scalar.first_matching(x, []), "y") == "other"
+
+
+def test_safe_select(spark):
+    assert R.safe_select(spark, "SELECT id FROM range(5) WHERE id > :least", {"least": 2}).count() == 2
+    with pytest.raises(ValueError):
+        R.safe_select(spark, "DROP TABLE x")
