@@ -206,7 +206,7 @@ def rating_counts(spark, d):
 
 @query(
     f"""WITH f AS (SELECT {_MODULE} AS module, sink_category, {_VALID} AS s FROM findings), g AS (SELECT module, sink_category AS category, count(*) AS n FROM f WHERE module IS NOT NULL AND sink_category IS NOT NULL AND s >= 0.5 GROUP BY 1, 2)
-SELECT module, category, n, row_number() OVER (PARTITION BY module ORDER BY n DESC, category) AS place FROM g QUALIFY place <= 2"""
+SELECT module, category, n, CAST(row_number() OVER (PARTITION BY module ORDER BY n DESC, category) AS INTEGER) AS place FROM g QUALIFY place <= 2"""
 )
 def top_categories(spark, d):
     g = scored(spark, d).where("module IS NOT NULL AND sink_category IS NOT NULL AND score >= 0.5").groupBy("module", F.col("sink_category").alias("category")).agg(F.count(F.lit(1)).alias("n"))

@@ -54,7 +54,7 @@ m AS (SELECT entry, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1
 
 @query(
     f"""WITH {_E}, g AS (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e), h AS (SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM g GROUP BY 1)
-SELECT node, p_name AS name, n_in, n_out, n_in + n_out AS hub, row_number() OVER (ORDER BY n_in + n_out DESC, node) AS rank FROM h JOIN part ON p_partkey = node QUALIFY rank <= 20"""
+SELECT node, p_name AS name, n_in, n_out, n_in + n_out AS hub, CAST(row_number() OVER (ORDER BY n_in + n_out DESC, node) AS INTEGER) AS rank FROM h JOIN part ON p_partkey = node QUALIFY rank <= 20"""
 )
 def hub_rank(spark, d):
     deg = G.degrees(part_edges(spark, d)).withColumn("hub", F.col("n_in") + F.col("n_out"))

@@ -32,7 +32,7 @@ def pair_results(findings: DataFrame, functions: DataFrame) -> DataFrame:
         {"n": F.count(F.lit(1)), "n_scored": F.count("score"), "best": F.max("score"), "total": F.sum(F.col("score").cast("decimal(20,6)")), "first": F.min("created"), "last": F.max("created")},
         {"n": F.sum("n"), "n_scored": F.sum("n_scored"), "best": F.max("best"), "total": F.sum("total"), "first": F.min("first"), "last": F.max("last")},
     )
-    return out.select("module", "function_name", "n", "n_scored", F.col("best").alias("best_score"), F.col("total").cast("double").alias("total_score"), F.timestamp_micros("first").alias("first_at"), F.timestamp_micros("last").alias("last_at"))
+    return out.select("module", "function_name", "n", "n_scored", F.col("best").alias("best_score"), F.col("total").cast("double").alias("total_score"), F.col("first").alias("first_us"), F.col("last").alias("last_us"))
 
 
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ _INSTANT = """CASE WHEN regexp_full_match(trim({c}), '-?\\d+(\\.\\d+)?') THEN ma
 _PAIRS = f"""
 WITH names AS (SELECT lower(module_id) AS module, lower(function_name) AS name_key, min(function_name) AS function_name FROM module_functions GROUP BY 1, 2),
 rows_ AS (SELECT {_MODULE} AS module, {_NAME} AS name_key, CASE WHEN score >= 0 AND score <= 1 THEN score END AS score, {_INSTANT.format(c="created_at")} AS created FROM findings)
-SELECT module, n.function_name, count(*) AS n, count(score) AS n_scored, max(score) AS best_score, CAST(sum(CAST(score AS DECIMAL(20,6))) AS DOUBLE) AS total_score, min(created) AS first_at, max(created) AS last_at
+SELECT module, n.function_name, count(*) AS n, count(score) AS n_scored, max(score) AS best_score, CAST(sum(CAST(score AS DECIMAL(20,6))) AS DOUBLE) AS total_score, epoch_us(min(created)) AS first_us, epoch_us(max(created)) AS last_us
 FROM rows_ JOIN names n USING (module, name_key) GROUP BY ALL
 """
 
