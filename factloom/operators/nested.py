@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -320,6 +320,49 @@ def child_tables(df: DataFrame, id_col: str, children: Mapping[str, Sequence[Chi
     return src.mapInArrow(run, schema)
 
 
+def elements(value) -> Iterator[object]:
+    """The elements of a parsed array as child_tables sees them: a lone value is an array of one, nulls and markers of a cut array are none."""
+    for x in value if isinstance(value, list) else [value]:
+        x = _inner(x)
+        if x is not None and not (isinstance(x, dict) and "_truncated" in x):
+            yield x
+
+
+def path_nodes(value) -> list[str]:
+    """The nodes of a parsed path: a step's text or function; of any other step all its leaves, in one text."""
+
+    def node(x) -> str:
+        if isinstance(x, dict) and isinstance(f := x.get("function"), str):
+            return f
+        if isinstance(x, (dict, list)):
+            return json.dumps(sorted([".".join(p), list(at), repr(v) if not isinstance(v, _Empty) else ""] for p, at, v in triples(x, frozenset())))
+        return _text(x)
+
+    return [node(x) for x in elements(value)]
+
+
+def text_arrays(df: DataFrame, json_col: str, out: str, read: Callable[[object], list[str]]) -> DataFrame:
+    """The other columns of df, and as `out` what read() makes of each JSON text; rows with null, blank and broken texts and JSON null are left out."""
+    keep = [c for c in df.columns if c != json_col]
+    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        for b in batches:
+            take, arrays = [], []
+            for i, text in enumerate(b.column(len(keep)).to_pylist()):
+                try:
+                    value = parse_through(text) if text else None
+                except ValueError:
+                    continue
+                if value is not None:
+                    take.append(i)
+                    arrays.append([x.encode(errors="backslashreplace").decode() for x in read(value)])
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(j).take(at) for j in range(len(keep))), pa.array(arrays, pa.list_(pa.string()))], names=schema.names)
+
+    return df.select(*keep, json_col).mapInArrow(run, schema)
+
+
 def triple_table(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """All leaves of a JSON text column: (id, path, ordinals, value), arrays as they stand."""
     schema = T.StructType([df.schema[id_col], T.StructField("path", T.StringType()), T.StructField("ordinals", T.ArrayType(T.IntegerType())), T.StructField("value", T.StringType())])

@@ -11,6 +11,7 @@ from factloom.functions import scalar
 from factloom.functions.cleaning import micros, module_key, slug
 from factloom.operators import relational as R
 from factloom.operators import store
+from factloom.operators.nested import path_nodes, text_arrays
 
 BIG = "bigint"
 QUERIES: dict = {}
@@ -100,9 +101,9 @@ _PATHS = """p AS (SELECT id, trim(dedup_key) AS k, score, substr(sha256(array_to
 SELECT k AS dedup_key, sig AS signature, id, score FROM one QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, id) <= 3"""
 )
 def dedup_top3_paths(spark, d):
-    f = findings(spark, d).where("path_json LIKE '[\"%' AND path_json NOT LIKE '%{%' AND path_json NOT LIKE '%null%'")
-    f = computed(f, ["id"], dedup_key=F.trim("dedup_key"), score=unit_number(F.col("score")), path=F.when(F.try_parse_json("path_json").isNotNull(), F.from_json("path_json", "array<string>")))
-    f = f.where("dedup_key <> '' AND score IS NOT NULL AND path IS NOT NULL")
+    """Per key the three best rows of different paths, whatever the JSON shape of a path; paths without nodes are one path."""
+    f = computed(findings(spark, d), ["id", "path_json"], dedup_key=F.trim("dedup_key"), score=unit_number(F.col("score")))
+    f = text_arrays(f.where("dedup_key <> '' AND score IS NOT NULL"), "path_json", "path", path_nodes)
     f = computed(f, ["id", "dedup_key", "score"], signature=store.path_signature(F.col("path")))
     return store.top_paths(f, "dedup_key", "signature", "score", "id")
 
