@@ -35,9 +35,9 @@ s AS (SELECT src AS entry FROM e GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1)
 
 def part_edges(spark, d) -> DataFrame:
     """(src, dst): parts on consecutive lines of an order."""
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity")  # noqa: E741
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")  # noqa: E741
     nxt = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
-    e = l.withColumn("dst", nxt).where("l_returnflag = 'R' AND l_quantity >= 45 AND dst IS NOT NULL AND l_partkey <> dst")
+    e = l.withColumn("dst", nxt).where("dst IS NOT NULL AND l_partkey <> dst")
     return e.select(F.col("l_partkey").alias("src"), "dst").distinct()
 
 
