@@ -341,6 +341,12 @@ def path_nodes(value) -> list[str]:
     return [node(x) for x in elements(value)]
 
 
+def difficulties(value) -> list[str]:
+    """The bypass difficulties of parsed guards: one for each guard that has the field, 'unknown' where that is null."""
+    found = (x["bypass_difficulty"] for x in elements(value) if isinstance(x, dict) and "bypass_difficulty" in x)
+    return [x if isinstance(x, str) else "unknown" for x in found]
+
+
 def text_arrays(df: DataFrame, json_col: str, out: str, read: Callable[[object], list[str]]) -> DataFrame:
     """The other columns of df, and as `out` what read() makes of each JSON text; rows with null, blank and broken texts and JSON null are left out."""
     keep = [c for c in df.columns if c != json_col]

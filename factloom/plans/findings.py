@@ -11,7 +11,7 @@ from factloom.functions import scalar
 from factloom.functions.cleaning import micros, module_key, slug
 from factloom.operators import relational as R
 from factloom.operators import store
-from factloom.operators.nested import path_nodes, text_arrays
+from factloom.operators.nested import difficulties, path_nodes, text_arrays
 
 BIG = "bigint"
 QUERIES: dict = {}
@@ -147,11 +147,8 @@ def latest_per_key(spark, d):
 SELECT id, CAST(round(greatest(0.0, 1.0 - coalesce(list_sum(w), 0)), 1) AS DOUBLE) AS bypass FROM g"""
 )
 def guard_bypass(spark, d):
-    f = findings(spark, d).where("guards_json LIKE '[%'")
-    f = computed(f, ["id"], v=F.try_parse_json("guards_json")).where("v IS NOT NULL")
-    listed = F.try_variant_get("v", F.lit("$"), "array<variant>")
-    hard = F.filter(F.transform(listed, lambda x: F.struct(F.try_variant_get(x, F.lit("$.bypass_difficulty"), "string").alias("d"), F.to_json(x).contains('"bypass_difficulty"').alias("h"))), lambda x: x["h"])
-    return f.select("id", F.round(scalar.bypass(F.transform(hard, lambda x: F.coalesce(x["d"], F.lit("unknown")))), 1).alias("bypass"))
+    f = text_arrays(findings(spark, d).select("id", "guards_json"), "guards_json", "hard", difficulties)
+    return f.select("id", F.round(scalar.bypass(F.col("hard")), 1).alias("bypass"))
 
 
 @query(

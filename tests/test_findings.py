@@ -64,3 +64,29 @@ def test_steps_of_no_known_shape(spark, tmp_path):
     texts = ['[{"a": 1, "b": [2]}]', '[{"b": [2], "a": 1}]', '[{"a": 1, "b": [3]}]', f"[{deep}]", '["\\ud800"]']
     d = folder(spark, tmp_path, findings=[finding(i, "k" if i < 3 else f"k{i}", path_json=t, score=0.5) for i, t in enumerate(texts)])
     assert sorted(r["id"] for r in QUERIES["dedup_top3_paths"](spark, d).collect()) == [0, 2, 3, 4]
+
+
+def test_guards_of_every_shape(spark, tmp_path):
+    g = lambda d: {"guard_type": "canary", "bypass_difficulty": d}
+    j = json.dumps
+    guards = [
+        (j([g("hard"), g("medium")]), 0.4),
+        ("\n [" + j(g("hard")) + "]", 0.6),
+        (j(g("hard")), 0.6),
+        (j(j([g("medium")])), 0.8),
+        (j(j(g("easy"))), 0.9),
+        (j([j(g("hard")), "text", None]), 0.6),
+        (j([g(None), g("odd"), {"guard_type": "x"}, {"_truncated": True}]), 0.8),
+        (j([{"checks": [{"bypass_difficulty": "hard"}]}]), 1.0),
+        (j([g("hard")] * 3), 0.0),
+        (j("lone"), 1.0),
+        ("[]", 1.0),
+        ("null", None),
+        ('[{"bypass_difficulty": "hard"', None),
+        (j('[{"bypass_difficulty": "hard"'), None),
+        ("", None),
+        (None, None),
+    ]
+    d = folder(spark, tmp_path, True, findings=[finding(i, guards_json=t) for i, (t, _) in enumerate(guards)])
+    got = {r["id"]: r["bypass"] for r in QUERIES["guard_bypass"](spark, d).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(guards) if x is not None}
