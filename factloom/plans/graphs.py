@@ -231,7 +231,7 @@ def search_regex_score(spark, d):
 
 @query()
 def search_fuzzy(spark, d):
-    return S.search(_table(spark, d), S.fuzzy_quality("ParseHeader")(F.col("text")), ["name", "class"])
+    return S.search(_table(spark, d), S.fuzzy_quality("ParseHeader")(F.col("text")))
 
 
 @query(
