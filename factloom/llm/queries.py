@@ -107,7 +107,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "scan_runs").select(run("run_id").alias("run"), F.unix_micros("started_at").alias("started")).where("run IS NOT NULL AND run <> ''").groupBy("run").agg(F.min("started").alias("started"))
     rows = _stated(spark, d, "run_id", "created_at").withColumn("run", run("run_id"))
     text = F.concat_ws("\x01", *IDENTITY)
-    rows = lookup_join(rows, runs, ["run"]).select("id", F.translate(text, END, "").alias("stated"), F.struct("started", "run").alias("batch"), micros(F.col("created_at")).alias("created"))
+    rows = lookup_join(rows, runs, ["run"]).select("id", F.translate(text, END, "").alias("stated"), F.col("started").alias("batch"), micros(F.col("created_at")).alias("created"))
     pairs = repeats(cut(rows), "stated", ["batch", "created"], "id")
     return pairs.select(F.least("first_id", "id").alias("id_a"), F.greatest("first_id", "id").alias("id_b"))
 
