@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.session import cut
+
 #: Where the vocabulary files lie, and the one used if none is named.
 FOLDER = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -170,7 +172,7 @@ def encode(df: DataFrame, ident: str, text: str, path: str | None = None, counts
 
     Null and empty texts give an empty list (0 tokens).  Strings that look like special tokens are plain
     text.  A text of any length is encoded whole; its leaves are encoded by different tasks.
-    Repeated rows come out each; rows of a long text need distinct ids.
+    Repeated rows come out each, whatever their ids.
     """
     path = path or vocabulary_path()
     kept = [df.schema[c] for c in (ident, *carry)]
@@ -189,18 +191,18 @@ def encode(df: DataFrame, ident: str, text: str, path: str | None = None, counts
     def leaves(batches):
         for b in batches:
             take, at, parts = [], [], []
-            for i, t in enumerate(b.column(k).to_pylist()):
+            for i, t in enumerate(b.column(k + 1).to_pylist()):
                 for j, part in enumerate(halves(t, leaf)):
                     take.append(i)
                     at.append(j)
                     parts.append(part)
             idx = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(idx) for c in b.columns[:k]), pa.array(at, pa.int32()), pa.array(parts, pa.string())], names=[*schema.names[:k], "__k", "__t"])
+            yield pa.RecordBatch.from_arrays([*(c.take(idx) for c in b.columns[: k + 1]), pa.array(at, pa.int32()), pa.array(parts, pa.string())], names=[*schema.names[:k], "__row", "__k", "__t"])
 
     def leaf_ids(batches):
         e = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([e.direct(t) for t in b.column(k + 1).to_pylist()], pa.list_(pa.int32()))], names=[*schema.names[:k], "__k", "__t", "__ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([e.direct(t) for t in b.column(k + 2).to_pylist()], pa.list_(pa.int32()))], names=[*schema.names[:k], "__row", "__k", "__t", "__ids"])
 
     def tree(batches):
         e = encoder(path)
@@ -211,10 +213,12 @@ def encode(df: DataFrame, ident: str, text: str, path: str | None = None, counts
     src = df.select(ident, *carry, text)
     is_long = F.length(text) > leaf
     small = src.where(F.col(text).isNull() | ~is_long).mapInArrow(short, schema)
-    leaf_schema = T.StructType([*kept, T.StructField("__k", T.IntegerType()), T.StructField("__t", T.StringType())])
+    leaf_schema = T.StructType([*kept, T.StructField("__row", T.LongType()), T.StructField("__k", T.IntegerType()), T.StructField("__t", T.StringType())])
     id_schema = T.StructType([*leaf_schema.fields, T.StructField("__ids", T.ArrayType(T.IntegerType()))])
     names = [f.name for f in kept]
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut_up = src.where(is_long).mapInArrow(leaves, leaf_schema).repartition(tasks, ident, "__k").mapInArrow(leaf_ids, id_schema)
-    whole = cut_up.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("__k", "__t", "__ids"))).alias("__p")).mapInArrow(tree, schema)
+    # written, so that a task that runs again finds the same numbers
+    numbered = cut(src.where(is_long).withColumn("__row", F.monotonically_increasing_id()).select(*names, "__row", text))
+    cut_up = numbered.mapInArrow(leaves, leaf_schema).repartition(tasks, "__row", "__k").mapInArrow(leaf_ids, id_schema)
+    whole = cut_up.groupBy(*names, "__row").agg(F.array_sort(F.collect_list(F.struct("__k", "__t", "__ids"))).alias("__p")).drop("__row").mapInArrow(tree, schema)
     return small.unionByName(whole)
