@@ -92,8 +92,18 @@ def rank_findings(spark, d):
     return R.ranked(f, [F.desc_nulls_last("rank_score"), F.desc("r"), F.col("id")], "place").select("id", "rank_score", "place")
 
 
-_PATHS = """p AS (SELECT id, trim(dedup_key) AS k, score, substr(sha256(array_to_string(list_sort(CAST(path_json::JSON AS VARCHAR[])), '|')), 1, 16) AS sig
- FROM findings WHERE coalesce(trim(dedup_key), '') <> '' AND path_json LIKE '["%' AND path_json NOT LIKE '%{%' AND path_json NOT LIKE '%null%' AND json_valid(path_json) AND score >= 0 AND score <= 1)"""
+def _shapes(column: str, *more: str) -> str:
+    """SQL of (id, x): each element of a JSON text's array; a lone value is an array of one, JSON in a string is read as JSON, nulls and markers of cut arrays are no elements."""
+    texts = ", ".join(["id", *more])
+    read = lambda n, of: f"""{n} AS (SELECT {texts}, CASE WHEN json_type(j) = 'VARCHAR' AND json_valid(j->>'$') THEN (j->>'$')::JSON ELSE j END AS j FROM {of})"""
+    return f"""j0 AS (SELECT {texts}, {column}::JSON AS j FROM findings WHERE {column} IS NOT NULL AND json_valid({column})), {read("j1", "j0")}, {read("j2", "j1")},
+whole AS (SELECT {texts}, CASE WHEN json_type(j) = 'ARRAY' THEN CAST(j AS JSON[]) ELSE [j] END AS xs FROM j2 WHERE json_type(j) <> 'NULL' AND NOT (json_type(j) = 'VARCHAR' AND regexp_matches(j->>'$', '^\\s*[\\[{{]'))),
+unwrapped AS (SELECT {texts}, list_transform(xs, lambda x: CASE WHEN json_type(x) = 'VARCHAR' AND regexp_matches(x->>'$', '^\\s*[\\[{{]') AND json_valid(x->>'$') THEN (x->>'$')::JSON ELSE x END) AS xs FROM whole),
+shaped AS (SELECT {texts}, list_filter(xs, lambda x: x IS NOT NULL AND json_type(x) <> 'NULL' AND NOT (json_type(x) = 'OBJECT' AND json_exists(x, '$._truncated'))) AS xs FROM unwrapped)"""
+
+
+_PATHS = f"""{_shapes("path_json", "dedup_key", "score")}, p AS (SELECT id, trim(dedup_key) AS k, score, substr(sha256(array_to_string(list_sort(list_transform(xs, lambda x: coalesce(x->>'$.function', x->>'$'))), '|')), 1, 16) AS sig
+ FROM shaped WHERE coalesce(trim(dedup_key), '') <> '' AND score >= 0 AND score <= 1)"""
 
 
 @query(
@@ -112,7 +122,7 @@ def dedup_top3_paths(spark, d):
 SPLIT = 1_751_328_000_000_000
 
 _SIDE = f"""s AS (SELECT trim(dedup_key) AS k, coalesce({_VALID}, 0.0) AS score, severity, verification_status AS status, id, {_us('created_at')} AS us FROM findings WHERE coalesce(trim(dedup_key), '') <> ''),
-o AS (SELECT k, arg_max(score, (score, -id)) AS score, arg_max(struct_pack(v := severity), (score, -id)).v AS severity, arg_max(struct_pack(v := status), id).v AS status FROM s WHERE us < {SPLIT} GROUP BY 1),
+o AS (SELECT k, arg_max(score, (score, -id)) AS score, arg_max(struct_pack(v := severity), (score, -id)).v AS severity, arg_max(struct_pack(v := status), id).v AS status FROM s WHERE us IS NULL OR us < {SPLIT} GROUP BY 1),
 n AS (SELECT k, arg_max(score, (score, -id)) AS score, arg_max(struct_pack(v := severity), (score, -id)).v AS severity, arg_max(struct_pack(v := status), id).v AS status FROM s WHERE us >= {SPLIT} GROUP BY 1)"""
 
 
@@ -124,7 +134,7 @@ def finding_upsert(spark, d):
     f = findings(spark, d)
     f = computed(f, ["id", "severity", F.col("verification_status").alias("status")], dedup_key=F.trim("dedup_key"), score=F.coalesce(unit_number(F.col("score")), F.lit(0.0)), us=micros(F.col("created_at"))).where("dedup_key <> ''")
     side = lambda c: store.folded(f.where(c).select("dedup_key", "score", "severity", "status", "id"), "dedup_key", "score", "id", ["status"]).drop("id")
-    return store.upsert(side(f"us < {SPLIT}"), side(f"us >= {SPLIT}"), "dedup_key", "score", ["status"])
+    return store.upsert(side(f"us IS NULL OR us < {SPLIT}"), side(f"us >= {SPLIT}"), "dedup_key", "score", ["status"])  # a row without an instant is an old one
 
 
 @query(f"SELECT count(*) AS kept, (SELECT count(*) FROM findings WHERE {_us('updated_at')} < {SPLIT}) AS removed FROM findings WHERE NOT coalesce({_us('updated_at')} < {SPLIT}, false)")
@@ -143,7 +153,7 @@ def latest_per_key(spark, d):
 
 
 @query(
-    """WITH g AS (SELECT id, list_transform(json_extract_string(guards_json, '$[*].bypass_difficulty'), lambda x: CASE x WHEN 'hard' THEN 0.4 WHEN 'medium' THEN 0.2 ELSE 0.1 END) AS w FROM findings WHERE guards_json LIKE '[%' AND json_valid(guards_json))
+    f"""WITH {_shapes("guards_json")}, g AS (SELECT id, list_transform(list_filter(xs, lambda x: json_type(x) = 'OBJECT' AND json_exists(x, '$.bypass_difficulty')), lambda x: CASE x->>'$.bypass_difficulty' WHEN 'hard' THEN 0.4 WHEN 'medium' THEN 0.2 ELSE 0.1 END) AS w FROM shaped)
 SELECT id, CAST(round(greatest(0.0, 1.0 - coalesce(list_sum(w), 0)), 1) AS DOUBLE) AS bypass FROM g"""
 )
 def guard_bypass(spark, d):
@@ -195,11 +205,11 @@ def module_score_share(spark, d):
 
 
 @query(
-    f"""SELECT coalesce(exploitability_rating, 'none') AS rating, {_MODULE} IS NULL AS no_module, count(*) AS n, CAST(approx_count_distinct(1) AS BIGINT) AS one FROM findings GROUP BY 1, 2"""
+    f"""SELECT coalesce(exploitability_rating, 'none') AS rating, {_MODULE} IS NULL AS no_module, count(*) AS n, count(DISTINCT {_MODULE}) AS modules FROM findings GROUP BY 1, 2"""
 )
 def rating_counts(spark, d):
     f = scored(spark, d)
-    return f.groupBy(F.coalesce("exploitability_rating", F.lit("none")).alias("rating"), F.col("module").isNull().alias("no_module")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.lit(1)).alias("one"))
+    return f.groupBy(F.coalesce("exploitability_rating", F.lit("none")).alias("rating"), F.col("module").isNull().alias("no_module")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("module").alias("modules"))
 
 
 @query(

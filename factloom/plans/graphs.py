@@ -29,7 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-_E = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst, l_returnflag AS r, l_quantity AS q FROM lineitem) WHERE r = 'R' AND q >= 45 AND dst IS NOT NULL AND src <> dst),
+_E = """e AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem) WHERE dst IS NOT NULL AND src <> dst),
 s AS (SELECT src AS entry FROM e GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 1)"""
 
 
@@ -173,12 +173,20 @@ def simple_paths(spark, d):
     return G.simple_paths(e, s, t, 4).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query()
+#: Every node with all that it leads to; the nodes of cycles.
+_CLOSURE = """r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b), loops AS (SELECT a AS node FROM r WHERE a = b)"""
+
+
+@query(f"WITH RECURSIVE {_E}, {_CLOSURE} SELECT x.a AS node, max(greatest(x.a, x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1")
 def scc_groups(spark, d):
     return G.components(part_edges(spark, d))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_E}, {_CLOSURE}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), cyclic AS (SELECT node FROM loops UNION SELECT a FROM r JOIN loops ON b = node),
+l(node, level) AS (SELECT node, 0 FROM n WHERE node NOT IN (SELECT node FROM cyclic) UNION SELECT e.src, l.level + 1 FROM l JOIN e ON e.dst = l.node WHERE e.src NOT IN (SELECT node FROM cyclic))
+SELECT node, CAST(-1 AS INTEGER) AS level FROM cyclic UNION ALL SELECT node, CAST(max(level) AS INTEGER) FROM l GROUP BY 1"""
+)
 def topo_levels(spark, d):
     return G.levels(part_edges(spark, d))
 
