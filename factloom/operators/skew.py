@@ -116,6 +116,7 @@ def fragment_replicate_join(
     tasks: int | None = None,
     loads: DataFrame | None = None,
     keep_shard: str | None = None,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Equi-join on columns of the same names, balanced under any skew of the left side.
 
@@ -125,7 +126,10 @@ def fragment_replicate_join(
     those rows, spread over all tasks).  The result has the left columns, then the right ones without the
     keys; a right column whose name the left side has gets the suffix _right.  keep_shard: name of a
     column that holds the shard, so that a later groupBy(keys, shard) needs no further shuffle.
-    Repeated rows stay repeated; an empty side gives what the plain join gives.
+    Repeated rows stay repeated; an empty side gives what the plain join gives.  Rows are dealt to the
+    shards of their key by a hash of the columns spread_by, which should differ between rows, else of all
+    columns and the row's number, so shards are even although rows are equal in every column.  The number is
+    the same in a task that runs again if the left side is scanned or cut; give spread_by where it isn't.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
@@ -134,14 +138,15 @@ def fragment_replicate_join(
     salts, hk, arr = shard_table(left, keys, tasks, loads, mark)
     salt = fresh(keep_shard or f"{mark}shard", left, right)
     heavy = F.broadcast(salts)  # fewer than 2 * tasks rows
-    place = F.xxhash64(*[left[c] for c in left.columns], F.spark_partition_id())  # repeated rows differ by where they lie
-    spread = F.pmod(place, F.size(arr).cast("bigint"))
+    place, left_cols = f"{mark}place", left.columns
+    left = left.withColumn(place, F.xxhash64(*([F.col(c) for c in spread_by] or [*[left[c] for c in left_cols], F.monotonically_increasing_id()])))
+    spread = F.pmod(F.col(place), F.size(arr).cast("bigint"))
     lost = F.lit(False)
     for c in keys:
         lost = lost | left[c].isNull()
-    mine = F.when(F.col(arr).isNotNull(), F.element_at(arr, (spread + 1).cast("int"))).when(lost, F.pmod(place, F.lit(4 * tasks)).cast("int")).otherwise(0)
-    l2 = left.join(heavy, _eq(left, salts, list(zip(keys, hk))), "left").select(*[left[c] for c in left.columns], mine.alias(salt))
-    taken = {c.lower() for c in left.columns}
+    mine = F.when(F.col(arr).isNotNull(), F.element_at(arr, (spread + 1).cast("int"))).when(lost, F.pmod(F.col(place), F.lit(4 * tasks)).cast("int")).otherwise(0)
+    l2 = left.join(heavy, _eq(left, salts, list(zip(keys, hk))), "left").select(*[left[c] for c in left_cols], mine.alias(salt))
+    taken = {c.lower() for c in left_cols}
     names = {c: (fresh(f"{c}_right", left, right) if c.lower() in taken else c) for c in right.columns if c not in keys}
     r1 = right.select(*[F.col(c).alias(f"{mark}r{i}") for i, c in enumerate(keys)], *[F.col(c).alias(n) for c, n in names.items()])
     rk = [f"{mark}r{i}" for i in range(len(keys))]
@@ -153,7 +158,7 @@ def fragment_replicate_join(
     out = l2.join(r2, cond, how)
     if how in ("left_semi", "left_anti"):
         return out.drop(salt) if not keep_shard else out
-    return out.select(*left.columns, *names.values(), *([salt] if keep_shard else []))
+    return out.select(*left_cols, *names.values(), *([salt] if keep_shard else []))
 
 
 def _width(df: DataFrame) -> Column:
@@ -176,10 +181,10 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADC
     return r[0] <= rows and r[1] <= most_bytes
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS, spread_by: Sequence[str] = ()) -> DataFrame:
     """Join with a side that is often small: broadcast if its rows and bytes were counted to be few, else fragment_replicate_join."""
     if not is_small(right, limit):
-        return fragment_replicate_join(left, right, keys, how)
+        return fragment_replicate_join(left, right, keys, how, spread_by=spread_by)
     mark = own_prefix(left, right)
     taken = {c.lower() for c in left.columns}
     names = {c: (fresh(f"{c}_right", left, right) if c.lower() in taken else c) for c in right.columns if c not in keys}

@@ -10,6 +10,7 @@ from factloom.functions.cleaning import micros, module_key, name_key
 from factloom.operators.nested import FINDING_CHILDREN, child_tables
 from factloom.operators.skew import fragment_replicate_join, grouped_by_shard
 from factloom.plans.identity import function_names
+from factloom.session import cut
 
 #: The share of all rows beyond which a pair counts as hot.
 HOT_SHARE = 0.01
@@ -21,10 +22,10 @@ def pair_results(findings: DataFrame, functions: DataFrame) -> DataFrame:
     Rows without a module or a name, and names that no function of the module has, give no pair.
     Scores that are null or no number from 0 to 1 aren't scored.
     """
-    rows = computed(findings, [], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")), score=unit_number(F.col("score")), created=micros(F.col("created_at")))
+    rows = computed(findings, ["id"], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")), score=unit_number(F.col("score")), created=micros(F.col("created_at")))
     names = function_names(functions).select("module", "name_key", "function_name")
     rows = rows.where(F.col("module").isNotNull() & F.col("name_key").isNotNull())
-    joined = fragment_replicate_join(rows, names, ["module", "name_key"], keep_shard="shard")
+    joined = fragment_replicate_join(rows, names, ["module", "name_key"], keep_shard="shard", spread_by=["id"])
     out = grouped_by_shard(
         joined,
         ["module", "name_key", "function_name"],
@@ -41,11 +42,12 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def hot_pairs(findings: DataFrame, functions: DataFrame, share: float = HOT_SHARE) -> DataFrame:
     """Pairs with more than the given share of all rows: (module, function_name)."""
-    least = findings.count() * share
-    rows = computed(findings, [], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")))
-    rows = rows.where(F.col("module").isNotNull() & F.col("name_key").isNotNull())
+    rows = computed(findings, ["id"], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")))
+    loads = cut(rows.groupBy("module", "name_key").agg(F.count(F.lit(1)).alias("load")))  # of all rows, those without a pair under null
+    least = (loads.agg(F.sum("load")).first()[0] or 0) * share
+    rows, loads = (t.where(F.col("module").isNotNull() & F.col("name_key").isNotNull()) for t in (rows, loads))
     names = function_names(functions).select("module", "name_key", "function_name")
-    joined = fragment_replicate_join(rows, names, ["module", "name_key"], keep_shard="shard")
+    joined = fragment_replicate_join(rows, names, ["module", "name_key"], loads=loads, keep_shard="shard", spread_by=["id"])
     out = grouped_by_shard(joined, ["module", "name_key", "function_name"], "shard", {"n": F.count(F.lit(1))}, {"n": F.sum("n")})
     return out.where(F.col("n") > least).select("module", "function_name")
 

@@ -93,3 +93,22 @@ def test_clashing_names(spark):
 def test_small_by_rows_and_bytes(spark):
     df = spark.createDataFrame([("x" * 1000, [1, 2], 1), (None, None, None)], "t string, a array<int>, n int")
     assert is_small(df, 2, 2000) and not is_small(df, 1, 2000) and not is_small(df, 2, 900) and is_small(df.limit(0), 0, 0)
+
+
+def test_shards_are_even_although_rows_are_equal(spark):
+    left = spark.createDataFrame([("hot",)] * 8000 + [(f"k{i}",) for i in range(2000)], "k string").repartition(2).sortWithinPartitions("k")
+    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+    got = fragment_replicate_join(left, right, ["k"], tasks=20, keep_shard="s").groupBy("s").count().collect()
+    planned = 8000 / len(got)
+    assert len(got) >= 15 and max(r["count"] for r in got) < 1.3 * planned
+
+
+def test_hot_pairs_are_split_as_planned(spark, tmp_path):
+    from factloom.plans.problems import hot_pairs
+    from tests.fixture_tables import FUNCTION_ROWS, finding, folder
+
+    f = [finding(i, name="Open") for i in range(900)] + [finding(1000 + i, name="Run", module=None if i % 2 else "a.dll") for i in range(6)]
+    d = folder(spark, tmp_path, findings=f, module_functions=FUNCTION_ROWS)
+    read = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    assert [tuple(r) for r in hot_pairs(read("findings"), read("module_functions")).collect()] == [("a.dll", "Open")]
+    assert hot_pairs(read("findings").limit(0), read("module_functions")).count() == 0
