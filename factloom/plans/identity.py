@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.columns import computed
 from factloom.functions.cleaning import IMPORT_PREFIXES, function_number, module_key, name_key, nearest_term, strip_blank, term_slug, vocabulary
 from factloom.operators.skew import lookup_join
+from factloom.session import cut
 
 
 def function_names(functions: DataFrame) -> DataFrame:
@@ -53,8 +56,6 @@ def identified(findings: DataFrame, functions: DataFrame, taxonomy: DataFrame, *
 
     Rows whose module, function or terms can't be told are left out: they are the same as no other row.
     """
-    sinks = vocabulary(taxonomy.where(F.col("kind") == "sink"), "term")
-    cats = vocabulary(taxonomy.where(F.col("kind") == "source_category"), "term")
     keyed = F.coalesce(F.col("dedup_key"), F.lit("")).rlike(r"\S")
     raw = ["id", *carry, "function_id", "sink", "source_category"]
     rows = computed(findings, raw, __m=module_key(F.col("module")), __a=F.when(keyed, key_array(F.col("dedup_key"))))
@@ -68,19 +69,27 @@ def identified(findings: DataFrame, functions: DataFrame, taxonomy: DataFrame, *
         __cs=term_slug(F.when(has, p["category"]).otherwise(F.col("source_category"))),
     )
     rows = computed(rows, ["id", *carry, "__m", "__keyed", "__token", "function_id", "__ss", "__cs"], __number=function_number(F.col("__token")))
-    rows = computed(
-        rows,
-        ["id", *carry, "__m"],
-        __fid=F.when(F.col("__keyed"), F.col("__number")).otherwise(F.col("function_id")),
-        __nk=F.when(F.col("__number").isNull(), name_key(F.col("__token"))),
-        __sink=nearest_term(F.col("__ss"), sinks),
-        __cat=nearest_term(F.col("__cs"), cats),
-    ).where(F.col("__sink").isNotNull() & F.col("__cat").isNotNull())
+    fid, nk = F.when(F.col("__keyed"), F.col("__number")).otherwise(F.col("function_id")), F.when(F.col("__number").isNull(), name_key(F.col("__token")))
+    rows = cut(computed(rows, ["id", *carry, "__m", "__ss", "__cs"], __fid=fid, __nk=nk).where("__ss <> '' AND __cs <> ''"))
     named = function_names(functions).where(F.col("only_id").isNotNull()).select(F.col("module").alias("__m"), F.col("name_key").alias("__nk"), "only_id")
-    out = lookup_join(rows, named, ["__m", "__nk"], "left")
+    terms = cut(term_map(rows, {"sink": "__ss", "source_category": "__cs"}, taxonomy))
+    for kind, slug, name in (("sink", "__ss", "__sink"), ("source_category", "__cs", "__cat")):
+        rows = lookup_join(rows, terms.where(F.col("kind") == kind).select(F.col("slug").alias(slug), F.col("term").alias(name)), [slug], spread_by=["id"])
+    out = lookup_join(rows, named, ["__m", "__nk"], "left", spread_by=["id"])
     return out.select(
         "id", *carry, F.col("__m").alias("module"), F.coalesce("__fid", "only_id").alias("function_id"), F.col("__sink").alias("sink"), F.col("__cat").alias("category")
     ).where(F.col("function_id").isNotNull())
 
 
+def term_map(rows: DataFrame, slugs: dict[str, str], taxonomy: DataFrame) -> DataFrame:
+    """(kind, slug, term) of each distinct slug that rows have of each kind of term and that means one; slugs: kind -> column.
+
+    Edit distances are computed once per distinct slug, not once per row.
+    """
+    found = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("slug")) for k, c in slugs.items()])).alias("x")).select("x.*").distinct()
+    # computed(), as the optimizer would else infer from a join on the slug that each row's own slug has to have a near term
+    parts = [computed(found.where(F.col("kind") == k), ["kind", "slug"], term=nearest_term(F.col("slug"), vocabulary(taxonomy.where(F.col("kind") == k), "term"))) for k in slugs]
+    return reduce(DataFrame.unionByName, parts).where(F.col("term").isNotNull())
+
+
 IDENTITY = ("module", "function_id", "sink", "category")
