@@ -66,11 +66,12 @@ def _statuses(spark: SparkSession, d: str) -> tuple[dict[str, str], dict[str, in
 def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
     """Stated findings with their known status, its rank in the order of trust, their time and lines of evidence."""
     names, trust = _statuses(spark, d)
-    rows = _stated(spark, d, "verification_status", "updated_at", "evidence_lines_json")
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else F.lit(None).cast("map<string,string>")
-    rows = computed(rows, ["id", *IDENTITY, "evidence_lines_json"], status=F.try_element_at(known, slug(F.col("verification_status"))), when=micros(F.col("updated_at")))
-    rows = rows.withColumn("rank", topological_rank(F.col("status"), sorted(trust), declared_precedence(trust)))
-    return with_evidence_lines(rows, "evidence_lines_json", "lines"), trust
+    plain = table(spark, d, "findings").select("id", "module", "dedup_key", "function_id", "sink", "source_category", "verification_status", "updated_at", "evidence_lines_json")
+    plain = with_evidence_lines(plain, "evidence_lines_json", "lines")
+    plain = computed(plain, ["id", "module", "dedup_key", "function_id", "sink", "source_category", "lines"], status=F.try_element_at(known, slug(F.col("verification_status"))), when=micros(F.col("updated_at")))
+    rows = identified(plain, table(spark, d, "module_functions"), table(spark, d, "taxonomy"), "status", "when", "lines")
+    return rows.withColumn("rank", topological_rank(F.col("status"), sorted(trust), declared_precedence(trust))), trust
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
