@@ -94,12 +94,12 @@ def p3_survivors(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     f = computed(table(spark, d, "findings"), ["id", "function_id", "score", "module", "function_name"], a=key_array(F.col("dedup_key")))
     f = computed(f, ["id"], module=module_key(F.col("module")), name_key=name_key(F.col("function_name")), score=unit_number(F.col("score")), function_id=F.coalesce("function_id", function_number(key_parts(F.col("a"))["function"])))
-    rows = f.where("module IS NOT NULL AND name_key IS NOT NULL AND score IS NOT NULL").withColumn("bucket", bucket(F.col("score")))
+    rows = cut(f.where("module IS NOT NULL AND name_key IS NOT NULL AND score IS NOT NULL").withColumn("bucket", bucket(F.col("score"))))
     names = function_names(table(spark, d, "module_functions")).select("module", "name_key", "only_id")
-    best = survivors(rows, ["module", "name_key"], "bucket", 3, names)
+    best = survivors(rows, ["module", "name_key"], "bucket", 3, names, ["id"])
     best = best.withColumn("function_id", F.coalesce("function_id", "only_id")).select("id", "module", "name_key", "score", "function_id")
     interest = latest_classification(table(spark, d, "classification_results")).where("interest IS NOT NULL").select("module", "function_id", "interest")
-    tied = lookup_join(best, interest, ["module", "function_id"], "left")
+    tied = lookup_join(best, interest, ["module", "function_id"], "left", spread_by=["id"])
     return ranked(tied, ["module", "name_key"], [F.col("score").desc(), F.col("interest").desc_nulls_last(), F.col("id")], 3).select("id", "place")
 
 

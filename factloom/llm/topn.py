@@ -37,16 +37,17 @@ def thresholds(rows: DataFrame, keys: Sequence[str], bucket_col: str, n: int) ->
     )
 
 
-def survivors(rows: DataFrame, keys: Sequence[str], bucket_col: str, n: int, extra: DataFrame | None = None) -> DataFrame:
+def survivors(rows: DataFrame, keys: Sequence[str], bucket_col: str, n: int, extra: DataFrame | None = None, spread_by: Sequence[str] = ()) -> DataFrame:
     """Rows at or above their group's threshold, with the columns that `extra` has for the group (inner).
 
     A superset of the n best of each group under any tie keys.  Rows with a null key have no group.
+    The rows are read twice: give a cut table.  spread_by: see fragment_replicate_join.
     """
     known = cut(thresholds(rows.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), keys, bucket_col, n))
     limit = known.select(*keys, "least")
     if extra is not None:
         limit = limit.join(extra, list(keys))
-    out = fragment_replicate_join(rows, limit, keys, loads=known.select(*keys, "load"))
+    out = fragment_replicate_join(rows, limit, keys, loads=known.select(*keys, "load"), spread_by=spread_by)
     least = "least" if "least" not in rows.columns else next(c for c in out.columns if c.startswith("least_right"))
     return out.where(F.col(bucket_col) >= F.col(least)).drop(least)
 
@@ -67,5 +68,5 @@ def top_n(rows: DataFrame, keys: Sequence[str], score: str, ties: Sequence[Colum
     span = ok.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
     low, high = (span[0], span[1]) if span[0] is not None and span[1] > span[0] else (0.0, 1.0)
     b = fresh("__bucket", rows)
-    kept = survivors(ok.withColumn(b, bucket(F.col(score).cast("double"), low, high)), keys, b, n).drop(b)
+    kept = survivors(cut(ok.withColumn(b, bucket(F.col(score).cast("double"), low, high))), keys, b, n).drop(b)
     return ranked(kept, keys, [F.col(score).desc(), *ties], n, place)
