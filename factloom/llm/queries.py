@@ -132,7 +132,7 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences(table(spark, d, "documents"), "doc_id", "text")
+    return sentences(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 QUERIES = {

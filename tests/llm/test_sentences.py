@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factloom.llm.sentences import sentences, units
+from factloom.llm.sentences import language_key, sentences, units
 
 
 def cut(t):
@@ -36,6 +36,37 @@ def test_languages(name):
         assert [x.replace("\n", " ") for x in cut("\n".join(gap.join(want).split(" ")))] == want  # every blank a line end
 
 
+#: (language tag, the sentences of one text, what stands between them)
+BY_LANGUAGE = [
+    ("en", ["He said no.", "5 people came.", "See no. 5 and No. 6 of it."], " "),
+    ("en-EN", ["The value was z.", "Then we left."], " "),
+    ("EN", ["We met J. Smith and J. R. R. Tolkien in St. Petersburg.", "Gen. Lee and Col. Kurtz left.", "It is on Main St.", "The end."], " "),
+    ("en", ["Dr. Who is on at 5 p. m. and at 9 a.m. too.", "We chose plan B.", "Then it failed."], " "),
+    ("de_DE", ["Das gilt z. B. Montag und z.B. Dienstag.", "Hr. Meier wohnt in St. Gallen.", "Am 3. Mai war es so."], " "),
+    ("fr", ["M. Dupont et Mme. Curie sont dans la salle.", "Il lit le livre."], " "),
+    ("es", ["El sr. López llega a las 5 p. m. en punto.", "Dice que no.", "5 personas vienen."], " "),
+    (None, ["Vgl. Abschn. 8 in der Liste.", "See approx. Two of the lines."], " "),
+    ("ja", ["The scan ran vs. Windows in all modes.", "これは本だ。", "終わり。"], " "),
+    ("en", ["Is it true?", "Yes, so be it."], ""),
+    ("hi", ["यह पढ़ता है।", "वह लिखता है।", "क्या?"], ""),
+    ("km", ["ខ្ញុំអាន។", "គាត់សរសេរ។"], ""),
+    ("my", ["ငါဖတ်တယ်။", "သူရေးတယ်။"], ""),
+    ("ar", ["من هنا؟", "نعم۔", "لا."], ""),
+    ("am", ["እሱ አነበበ።", "እሷ ጻፈች።"], ""),
+    ("hy", ["Նա կարդում է։", "Նա գրում է։"], ""),
+]
+
+
+@pytest.mark.parametrize("lang,want,gap", BY_LANGUAGE)
+def test_by_language(lang, want, gap):
+    t = gap.join(want)
+    assert [t[a:b] for a, b in units(t, lang)] == want
+
+
+def test_language_keys():
+    assert [language_key(x) for x in (" de-DE", "EN", "pt_BR", "und", "", None)] == ["de", "en", "pt", None, None, None]
+
+
 def test_layout():
     t = "# Title no. 4\r\n\r\nOne. Two\r\nlines.\r\n\r\nThe scan shows:\r\n- First. Still first.\r\n2. second\r\n  goes on\r\n\r\n```c\nint a; // x. y\n\nb();\n```\r\n\r\nSummary of x.dll\n\t \nLast."
     assert cut(t) == ["# Title no. 4", "One.", "Two\r\nlines.", "The scan shows:", "- First. Still first.", "2. second\r\n  goes on", "```c\nint a; // x. y\n\nb();\n```", "Summary of x.dll", "Last."]
