@@ -11,7 +11,7 @@ from factloom.llm.cutoff import cutoffs, valid_interest
 from factloom.llm.encode import encode
 from factloom.llm.mix import capacity, mix, token_counts
 from factloom.llm.oracles import ORACLES
-from factloom.llm.segments import END, repeats
+from factloom.llm.segments import END, near_repeats, repeats
 from factloom.llm.sentences import sentences
 from factloom.llm.survivor import MAX_VALUES, current_value, declared_precedence, learn_precedence, survivor_ids, topological_rank, with_evidence_lines
 from factloom.llm.topn import bucket, ranked, survivors
@@ -108,11 +108,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "scan_runs").select(run("run_id").alias("run"), F.unix_micros("started_at").alias("started")).where("run IS NOT NULL AND run <> ''").groupBy("run").agg(F.min("started").alias("started"))
     rows = _stated(spark, d, "run_id", "created_at").withColumn("run", run("run_id"))
     text = F.concat_ws("\x01", *IDENTITY)
-    rows = lookup_join(rows, runs, ["run"]).select("id", F.translate(text, END, "").alias("stated"), F.col("started").alias("batch"), micros(F.col("created_at")).alias("created"))
+    rows = lookup_join(rows, runs, ["run"], spread_by=["id"]).select("id", F.translate(text, END, "").alias("stated"), F.col("started").alias("batch"), micros(F.col("created_at")).alias("created"))
     pairs = repeats(cut(rows), "stated", ["batch", "created"], "id")
     return pairs.select(F.least("first_id", "id").alias("id_a"), F.greatest("first_id", "id").alias("id_b"))
 
 
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Findings whose summary is a near copy of one that an earlier run, or an earlier row of its run, stored, with the coverage."""
+    run = lambda c: F.lower(strip_blank(F.col(c)))
+    runs = table(spark, d, "scan_runs").select(run("run_id").alias("run"), F.unix_micros("started_at").alias("started")).where("run IS NOT NULL AND run <> ''").groupBy("run").agg(F.min("started").alias("started"))
+    rows = table(spark, d, "findings").select("id", "summary", run("run_id").alias("run"), micros(F.col("created_at")).alias("created"))
+    rows = lookup_join(rows, runs, ["run"], spread_by=["id"])
+    return near_repeats(rows, "summary", ["started", "created"], "id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -142,6 +151,7 @@ QUERIES = {
     "p3_survivors": p3_survivors,
     "p4_found": p4_found,
     "p6_found": p6_found,
+    "p6_near": p6_near,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_shares": p8_shares,
