@@ -9,7 +9,7 @@ from factloom.columns import computed, table, unit_number
 from factloom.functions.cleaning import function_number, micros, module_key, name_key, slug, strip_blank
 from factloom.llm.cutoff import cutoffs, valid_interest
 from factloom.llm.encode import encode
-from factloom.llm.mix import capacity, mix, token_counts
+from factloom.llm.mix import mix, packed
 from factloom.llm.oracles import ORACLES
 from factloom.llm.segments import END, near_repeats, repeats
 from factloom.llm.sentences import sentences
@@ -127,8 +127,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    counts = token_counts(table(spark, d, "documents"))
-    return capacity(cut(counts), table(spark, d, "mix_targets")).where("NOT reachable").select("source")
+    return packed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].where("NOT reachable").select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
