@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import math
 import os
 from collections.abc import Sequence
 
@@ -26,6 +27,8 @@ FOLDER = os.environ.get("FACTLOOM_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Characters of a leaf; longer texts are halved.
 LEAF = 8_192
+#: Neighbouring parts that one task joins in a round of the tree.
+FAN = 16
 
 # Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -205,10 +208,16 @@ def encode(df: DataFrame, ident: str, text: str, path: str | None = None, counts
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([e.direct(t) for t in b.column(k + 2).to_pylist()], pa.list_(pa.int32()))], names=[*schema.names[:k], "__row", "__k", "__t", "__ids"])
 
     def tree(batches):
+        """One round: neighbouring parts of a text joined, in pairs of pairs."""
         e = encoder(path)
         for b in batches:
-            lists = [e.joined([(x["__t"], x["__ids"]) for x in parts]) for parts in b.column(k).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], result(lists)], names=schema.names)
+            parts = b.column(k + 2).to_pylist()
+            lists = [e.joined([(x["__t"], x["__ids"]) for x in p]) for p in parts]
+            yield pa.RecordBatch.from_arrays([*b.columns[: k + 2], pa.array(["".join(x["__t"] for x in p) for p in parts], pa.string()), pa.array(lists, pa.list_(pa.int32()))], names=id_schema.names)
+
+    def finished(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:k], result(b.column(k).to_pylist())], names=schema.names)
 
     src = df.select(ident, *carry, text)
     is_long = F.length(text) > leaf
@@ -219,6 +228,10 @@ def encode(df: DataFrame, ident: str, text: str, path: str | None = None, counts
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # written, so that a task that runs again finds the same numbers
     numbered = cut(src.where(is_long).withColumn("__row", F.monotonically_increasing_id()).select(*names, "__row", text))
-    cut_up = numbered.mapInArrow(leaves, leaf_schema).repartition(tasks, "__row", "__k").mapInArrow(leaf_ids, id_schema)
-    whole = cut_up.groupBy(*names, "__row").agg(F.array_sort(F.collect_list(F.struct("__k", "__t", "__ids"))).alias("__p")).drop("__row").mapInArrow(tree, schema)
-    return small.unionByName(whole)
+    parts = numbered.mapInArrow(leaves, leaf_schema).repartition(tasks, "__row", "__k").mapInArrow(leaf_ids, id_schema)
+    # a round joins FAN neighbours in a task of their own; the longest text says how many rounds it takes
+    width = 2 ** math.ceil(math.log2(max(1, -(-(numbered.agg(F.max(F.length(text))).first()[0] or 0) // leaf))) + 1)
+    while width > 1:
+        width = -(-width // FAN)
+        parts = parts.groupBy(*names, "__row", F.expr(f"__k div {FAN}").cast("int").alias("__k")).agg(F.array_sort(F.collect_list(F.struct("__k", "__t", "__ids"))).alias("__p")).mapInArrow(tree, id_schema)
+    return small.unionByName(parts.select(*names, "__ids").mapInArrow(finished, schema))

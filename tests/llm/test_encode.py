@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import base64
+import random
 
 import pytest
 import tiktoken
@@ -51,3 +52,11 @@ def test_table(spark, direct):
     counts = {r["doc_id"]: r["n_tokens"] for r in encode(df.drop("n_tokens"), "doc_id", "text", counts_only=True).collect()}
     assert counts == {i: len(x) for i, x in got.items()}
     assert encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_several_rounds(spark, direct):
+    r = random.Random(2)
+    texts = ["".join(r.choice(PARTS) for _ in range(n)) for n in (1, 40, 400, 1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {x["id"]: x["ids"] for x in encode(df, "id", "text", leaf=5).collect()}  # over a thousand leaves: three rounds
+    assert got == {i: direct.encode_ordinary(t) for i, t in enumerate(texts)}
