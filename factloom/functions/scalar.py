@@ -36,7 +36,10 @@ def name_kind(c: Column) -> Column:
 def parameter_count(signature: Column) -> Column:
     """Parameters of a signature, by its outermost parentheses; 0 for none."""
     inner = F.regexp_extract(signature, r"\((.*)\)", 1)
-    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, ","))).cast("bigint")
+    flat = inner  # commas of nested types and function pointers don't count: brackets are emptied from the inside, four deep
+    for _ in range(4):
+        flat = F.regexp_replace(flat, r"<[^<>()]*>|\([^<>()]*\)", "")
+    return F.when(inner == "", 0).otherwise(F.size(F.split(flat, ","))).cast("bigint")
 
 
 def calls_in(code: Column) -> Column:
@@ -228,3 +231,41 @@ def first_matching(c: Column, patterns: Sequence[tuple[str, str]], otherwise: st
         hit = c.rlike(f"(?i){p}")
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.coalesce(out, F.lit(otherwise)) if out is not None else F.lit(otherwise)
+
+
+# Risk of types that callers send; arrays of others count .6 at least.
+WIRE_RISK = {
+    "string": 0.8, "byte[]": 0.9, "sbyte[]": 0.9, "int": 0.3, "uint": 0.3, "long": 0.3, "ulong": 0.3, "short": 0.3, "ushort": 0.3, "char": 0.3, "double": 0.3, "float": 0.3,
+    "bool": 0.1, "System.Guid": 0.2, "NdrContextHandle": 0.2, "NdrEnum16": 0.2, "NdrInt3264": 0.4, "NdrUInt3264": 0.4, "NdrEmpty": 0.0, "NdrUnsupported": 0.1,
+    "NdrInterfacePointer": 0.7, "NdrSystemHandle": 0.7, "IntPtr": 0.5,
+}
+
+
+def wire_type_risk(c: Column) -> Column:
+    """The risk, 0 to 1, of a parameter's type as a stub writes it; .5 for types that aren't listed, null for null."""
+    base, array = F.regexp_replace(c, r"[\[\]]+$", ""), c.endswith("[]")
+    listed = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in WIRE_RISK.items() for x in kv]), base), F.lit(0.5))
+    out = F.when(array & base.isin("byte", "sbyte"), 0.9).when(array & (base == "string"), 0.85).when(F.startswith(c, F.lit("NdrPipe")), 0.75).when(c.isin("NdrInterfacePointer", "NdrSystemHandle"), 0.7)
+    out = out.when(array, F.greatest(listed, F.lit(0.6))).when(base.rlike("^(Struct|Union)_"), 0.6)
+    return F.when(c.isNotNull(), out.otherwise(listed))
+
+
+# What a method is for, by parts of its name; the first that matches counts.
+METHOD_KINDS = (
+    ("authentication", "(auth|login|credential|token|identity|impersonat)"),
+    ("crypto", "(crypt|encrypt|decrypt|hash|sign|verify|cert)"),
+    ("file_io", "(file|folder|directory|path|stream|storage|read|write|open|create|delete)(?!.*async)"),
+    ("network", "(network|socket|http|url|connect|download|upload|remote)"),
+    ("process", "(process|launch|execute|run|spawn|shutdown|reboot)"),
+    ("registry", "(registry|regkey|hkey)"),
+    ("system_management", "(system|update|install|config|setting|policy|timezone|power)"),
+    ("elevation", "(elevat|admin|privilege|uac|consent)"),
+    ("marshalling", "(marshal|unmarshal|proxy|stub|interface)"),
+    ("data_access", "(get_|put_|set_|query|enum|list|find|search|exists|tryget|add|remove)"),
+    ("event", "(add_|remove_|event|changed|notify|callback)"),
+    ("async_operation", "(async|await|operation|task)"),
+)
+
+
+def method_kind(name: Column) -> Column:
+    return first_matching(name, METHOD_KINDS)

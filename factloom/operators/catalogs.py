@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +92,13 @@ def in_strings(strings: DataFrame, column: str, i: DataFrame) -> DataFrame:
     return u.join(ids, "u").select(column, "interface_id", F.lit("uuid").alias("how")).unionAll(whole.join(e, "endpoint").select(column, "interface_id", F.lit("endpoint")))
 
 
+def present_in(modules: DataFrame, catalogs: Mapping[str, DataFrame]) -> DataFrame:
+    """(kind, module) of the modules that each catalog (a table with a column module) knows, each once."""
+    m = modules.select(F.lower("module").alias("module")).distinct()
+    parts = [R.in_keys(m, c.select(F.lower("module").alias("module")), ["module"]).select(F.lit(kind).alias("kind"), "module") for kind, c in catalogs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def privileged(servers: DataFrame, contexts: DataFrame, level: str) -> DataFrame:
     """Servers that have a privileged context for callers of the level."""
     c = contexts.where((F.col("caller") == level) & F.col("privileged")).select("server").distinct()

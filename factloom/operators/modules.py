@@ -107,15 +107,37 @@ def calling_modules(calls: DataFrame, name_part: str, modules: Sequence[str] | N
     return c.where(F.col("module").isin([m.lower() for m in modules])) if modules is not None else c
 
 
+#: The node that stands for every server where a client's own one isn't known.
+ANY_SERVER = "(any server)"
+
+
 def fallback_edges(edges: DataFrame, clients: DataFrame, servers: DataFrame) -> DataFrame:
-    """(src_module, dst_module): the given edges; only if there are none, each client to each server but itself.
+    """(src_module, dst_module): the given edges; only if there are none, each client may reach each server.
 
-    The fallback stays at module grain: its size is the product of two lists of modules.
+    The fallback goes through one node, ANY_SERVER, so it has as many edges as clients and servers
+    together, not as many as their pairs; reach over it needs one step more.
     """
     if not edges.isEmpty():
         return edges.select("src_module", "dst_module").distinct()
-    c, s = clients.select(F.lower("module").alias("src_module")).distinct(), servers.select(F.lower("module").alias("dst_module")).distinct()
-    return c.join(s, F.col("src_module") != F.col("dst_module"))
+    c = clients.select(F.lower("module").alias("src_module"), F.lit(ANY_SERVER).alias("dst_module")).distinct()
+    return c.union(servers.select(F.lit(ANY_SERVER), F.lower("module")).distinct())
+
+
+def activation_edges(sites: DataFrame, servers: DataFrame) -> DataFrame:
+    """(src_module, dst_module, procedure, edge_type) of call sites (module, class_id) to the servers (class_id, module, procedure).
+
+    A site whose class is known leads to that class's procedures; modules with other sites lead to ANY_SERVER
+    once (edge_type 'unresolved'), and that to every server, so the broad edges aren't a product.  No edge leads to its own module.
+    """
+    s = servers.select(F.lower("class_id").alias("__c"), F.lower("module").alias("dst_module"), "procedure").where("__c IS NOT NULL").distinct()
+    c = sites.select(F.lower("module").alias("src_module"), F.lower("class_id").alias("__c")).distinct()
+    known = lookup_join(c, s, ["__c"]).where("src_module <> dst_module").select("src_module", "dst_module", "procedure", F.lit("resolved").alias("edge_type"))
+    ids = s.select("__c").distinct()
+    lost = c.where("__c IS NULL").unionByName(lookup_join(c.where("__c IS NOT NULL"), ids, ["__c"], "left_anti"))
+    none = F.lit(None).cast("string")
+    broad = lost.select("src_module", F.lit(ANY_SERVER).alias("dst_module"), none.alias("procedure"), F.lit("unresolved").alias("edge_type")).distinct()
+    hub = s.select(F.lit(ANY_SERVER).alias("src_module"), "dst_module", "procedure", F.lit("unresolved").alias("edge_type")).distinct()
+    return known.distinct().union(broad).union(hub if not broad.isEmpty() else hub.limit(0))
 
 
 def callbacks(edges: DataFrame, registrars: DataFrame, hints: str, most_callers: int = 5, lone: int = 2) -> DataFrame:
@@ -135,6 +157,12 @@ def one_per_category(items: DataFrame, category: str, order: str, most: int) ->
     return r.orderBy(order).limit(most)
 
 
+def first_per_category(items: DataFrame, keys: Sequence[str], category: str, order: Sequence[str], most: int) -> DataFrame:
+    """The same for every key: the first item of each category, and of those the first `most` of the key."""
+    r = items.withColumn("__r", F.row_number().over(W.partitionBy(*keys, category).orderBy(*order))).where("__r = 1")
+    return r.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= most).drop("__r")
+
+
 def caller_boost(scores: DataFrame, calls: DataFrame, key: str = "name", step: float = 0.05, most: float = 0.15) -> DataFrame:
     """scores with the number of modules that call each (module, key) from outside, and a bounded boost for it."""
     n = calls.where("module <> dst_module").groupBy(F.col("dst_module").alias("module"), F.col("dst").alias(key)).agg(F.count_distinct("module").alias("outside"))
@@ -148,11 +176,12 @@ def classified(names: DataFrame, column: str, prefixes: DataFrame) -> DataFrame:
     Each distinct name is cut to the lengths that prefixes have, so the match is an equality join, whatever
     the number of prefixes.
     """
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).where(F.length("prefix") > 0).distinct().limit(1000).collect()]
-    n = names.select(F.col(column).alias("__name")).where(F.col(column).isNotNull()).distinct()
-    cuts = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("__name", 1, k).alias("p")) for k in lengths]) if lengths else F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("p")))
-    c = n.select("__name", F.inline(F.filter(cuts, lambda x: F.length("__name") >= x["k"])))
-    hit = c.join(prefixes.select(F.col("prefix").alias("p"), "class"), "p").groupBy("__name").agg(F.max_by("class", "k").alias("class"))
+    p = prefixes.select(F.col("prefix").alias("p"), "class").where(F.length("prefix") > 0).groupBy("p").agg(F.min("class").alias("class"))
+    # the lengths that prefixes of a first letter have, so that a name isn't cut to others
+    lengths = p.groupBy(F.substring("p", 1, 1).alias("__a")).agg(F.collect_set(F.length("p")).alias("__ks"))
+    n = names.select(F.col(column).alias("__name"), F.substring(column, 1, 1).alias("__a")).where(F.col(column).isNotNull()).distinct()
+    c = lookup_join(n, lengths, ["__a"], spread_by=["__name"]).select("__name", F.explode(F.filter("__ks", lambda k: k <= F.length("__name"))).alias("k"))
+    hit = lookup_join(c.select("__name", "k", F.expr("substring(__name, 1, k)").alias("p")), p, ["p"], spread_by=["__name", "k"]).groupBy("__name").agg(F.max_by("class", "k").alias("class"))
     return names.join(hit, F.col(column) == F.col("__name"), "left").drop("__name")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.columns import fresh
 from factloom.operators.skew import lookup_join
+from factloom.session import cut
 
 # ---------------------------------------------------------------- filters
 
@@ -91,6 +92,12 @@ def not_in_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     return lookup_join(df, keys.select(*on).distinct(), on, "left_anti")
 
 
+def without_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (src, dst) that touch none of the nodes (column 'node')."""
+    n = nodes.select("node").distinct()
+    return edges.join(n.withColumnRenamed("node", "src"), "src", "left_anti").join(n.withColumnRenamed("node", "dst"), "dst", "left_anti")
+
+
 def one_column(df: DataFrame, name: str) -> DataFrame:
     """One column by name, refused if the table has none."""
     if name not in df.columns:
@@ -143,8 +150,6 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(i, F.monotonically_increasing_id())
     sorted_ = sorted_.withColumn(p, F.shiftright(F.col(i), 33))
-    from factloom.session import cut
-
     sorted_ = cut(sorted_)
     sizes = sorted_.groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy(p).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per task

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.plans import facts, findings, graphs, problems, tables
+from factloom.plans import calls, facts, findings, graphs, ipc, problems, tables
 
 FLAGSHIP = "hub_rank"
 
-_MODULES = (problems, facts, findings, graphs, tables)
+_MODULES = (problems, facts, calls, ipc, findings, graphs, tables)
 
 
 def queries() -> dict:

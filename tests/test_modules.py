@@ -54,7 +54,7 @@ def test_calls(spark):
     assert {r["module"]: (r["outside"], r["score"]) for r in M.caller_boost(s, c).collect()} == {"b": (2, 0.6), "a": (0, 0.5)}
     m = spark.createDataFrame([("A",), ("B",)], "module string")
     none = c.select(F.col("module").alias("src_module"), "dst_module").limit(0)
-    assert sorted(map(tuple, M.fallback_edges(none, m, m).collect())) == [("a", "b"), ("b", "a")]
+    assert sorted(map(tuple, M.fallback_edges(none, m, m).collect())) == [(M.ANY_SERVER, "a"), (M.ANY_SERVER, "b"), ("a", M.ANY_SERVER), ("b", M.ANY_SERVER)]
     assert M.fallback_edges(c.select(F.col("module").alias("src_module"), "dst_module"), m, m).count() == 5
     o = spark.createDataFrame([("x", 1), ("x", 2), ("y", 3), ("z", 4)], "k string, o int")
     assert [r["o"] for r in M.one_per_category(o, "k", "o", 2).collect()] == [1, 3]
