@@ -199,7 +199,7 @@ def assessed(entries: DataFrame, findings: DataFrame, key: Sequence[str], score:
     j = R.lookup_join(findings, from_entry, list(key))
     factor = _pick(CONFIDENCE, F.upper("confidence"), CONFIDENCE["LOW"])
     total = 0.35 * F.coalesce("severity", F.lit(0.0)) + 0.25 * F.coalesce("primitive", F.lit(0.0)) + 0.25 * F.coalesce("bypass", F.lit(0.0)) + 0.15 * F.coalesce("__reach", F.lit(0.0))
-    return j.withColumn("assessment", F.round(F.least(F.lit(1.0), total) * factor, 3)).drop("__reach")
+    return j.withColumn("assessment", F.least(F.lit(1.0), total) * factor).drop("__reach")
 
 
 def compared(counts: DataFrame, module: str, dimension: str, value: str, modules: Sequence[str]) -> DataFrame:

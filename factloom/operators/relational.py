@@ -121,9 +121,9 @@ def read_only_sql(statement: str, select_only: bool = True) -> str:
     return statement
 
 
-def safe_select(spark: SparkSession, statement: str, args: Mapping[str, object] | None = None) -> DataFrame:
-    """Run a statement that was checked to only read, with named parameters."""
-    return spark.sql(read_only_sql(statement), args=dict(args or {}))
+def safe_select(spark: SparkSession, statement: str, args: Mapping[str, object] | None = None, **tables: DataFrame) -> DataFrame:
+    """Run a statement that was checked to only read, with named parameters and tables ({name} in the statement)."""
+    return spark.sql(read_only_sql(statement), args=dict(args or {}), **tables)
 
 
 # ---------------------------------------------------------------- pages and top rows
@@ -157,6 +157,17 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFr
     return out.select(*df.columns, (F.col(i).bitwiseAND((1 << 33) - 1) + F.col("__before") + 1).alias(name))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "place") -> DataFrame:
+    """Places 1..N of a table that a report's limit has made short; for whole tables see ranked()."""
+    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+
+
+def batched(df: DataFrame, order: Sequence[Column], size: int, name: str = "batch") -> DataFrame:
+    """Batch numbers from 0 of so many rows each, by a total order; no task sees the whole table."""
+    i = fresh("__rank", df)
+    return ranked(df, order, i).withColumn(name, F.expr(f"({i} - 1) div {int(size)}")).drop(i)
+
+
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key by the order."""
     r = fresh("__r", df)

@@ -53,12 +53,17 @@ def finding_score(impact: Column, guards: Column, hops: Column, confidence: Colu
     return weighted({"impact": impact, "trigger": trigger(guards, hops), "confidence": confidence, "reach": reach}, FINDING_WEIGHTS)
 
 
-def assessment(severity: Column, primitive: Column, bypass: Column, reach: Column, confidence: Column) -> Column:
-    """To 3 decimals, scaled by the confidence level's factor (unknown levels as LOW)."""
+def confidence_factor(confidence: Column) -> Column:
+    """The factor of a confidence level; unknown levels count as LOW."""
     factor = F.lit(CONFIDENCE["LOW"])
     for k, v in CONFIDENCE.items():
         factor = F.when(F.upper(confidence) == k, v).otherwise(factor)
-    return F.round(weighted({"severity": severity, "primitive": primitive, "bypass": bypass, "reach": reach}, ASSESSMENT_WEIGHTS) * factor, 3)
+    return factor
+
+
+def assessment(severity: Column, primitive: Column, bypass: Column, reach: Column, confidence: Column) -> Column:
+    """To 3 decimals, scaled by the confidence level's factor."""
+    return F.round(weighted({"severity": severity, "primitive": primitive, "bypass": bypass, "reach": reach}, ASSESSMENT_WEIGHTS) * confidence_factor(confidence), 3)
 
 
 def interest(danger: Column, loops: Column, complexity: Column, strings: Column, has_code: Column, penalty: Column) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from factloom.plans import calls, facts, findings, graphs, ipc, problems, tables
+from factloom.plans import assess, calls, facts, findings, graphs, inout, ipc, problems, tables
 
 FLAGSHIP = "hub_rank"
 
-_MODULES = (problems, facts, calls, ipc, findings, graphs, tables)
+_MODULES = (problems, facts, calls, ipc, assess, inout, findings, graphs, tables)
 
 
 def queries() -> dict:

@@ -53,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def setting(spark: SparkSession, path: str, default: str) -> str:
+    """A setting by dotted path: FACTLOOM_A_B in the environment, else factloom.a.b of the session, else the default."""
+    return os.environ.get("FACTLOOM_" + path.upper().replace(".", "_")) or spark.conf.get(f"factloom.{path}", default)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p

@@ -31,12 +31,13 @@ def jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None
     return r.load()
 
 
-def function_index(spark: SparkSession, path: str) -> DataFrame:
+def function_index(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(module, name, files, library, function_id, has_decompiled, has_assembly) of JSON indexes, one object per file.
 
     The module is the file's folder.  A lone 'file' counts as a list of one.  Broken files give no rows.
+    lines: each line is an object of its own, so that an index of any size is read in pieces.
     """
-    t = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("p"))
+    t = spark.read.text(path, wholetext=not lines).select("value", F.col("_metadata.file_path").alias("p"))
     folder = F.regexp_extract("p", r"([^/]+)/[^/]*$", 1)
     e = t.select(folder.alias("module"), F.explode(F.from_json("value", INDEX)).alias("name", "e"))
     files = F.coalesce("e.files", F.when(F.col("e.file").isNotNull(), F.array("e.file")), F.array().cast("array<string>"))
