@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.model import xref_name
-from factloom.session import cut
+from factloom.session import cut, placed
 
 # The kinds of a referenced function that are no code.
 DATA_TYPE, VTABLE_TYPE = 4, 8
@@ -50,21 +50,45 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 0, allowed: Colu
     traversal, whose rounds are as many as the longest shortest path.
     """
     e = edges.select("src", "dst") if allowed is None else edges.where(allowed).select("src", "dst")
-    e = cut(e.where("src IS NOT NULL AND dst IS NOT NULL").distinct())
-    frontier = cut(starts.select("entry", F.col("entry").alias("node")).where("entry IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
+    out, heavy = _by_source(cut(e.where("src IS NOT NULL AND dst IS NOT NULL").distinct()))
+    frontier = placed(starts.select("entry", F.col("entry").alias("node")).where("entry IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "entry", "node")
     seen, depth = frontier, 0
     while max_depth <= 0 or depth < max_depth:
         depth += 1
-        nxt = frontier.join(e, F.col("node") == F.col("src")).select("entry", F.col("dst").alias("node")).distinct()
-        frontier = cut(nxt.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        asked = _ask(frontier.select("entry", "node"), heavy)
+        nxt = asked.join(out, ["node", "part"]).select("entry", F.col("dst").alias("node")).distinct()
+        # only the frontier and what it leads to are shuffled: edges and seen nodes lie where their keys put them
+        frontier = placed(nxt.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if depth % 8 == 0:
-            seen = cut(seen)
+            seen = placed(seen)
     return seen
 
 
+def _by_source(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(out, heavy): edges (node, part, dst) placed by node and part, and the nodes of so many edges that they have several parts.
+
+    heavy: (node, parts), at most as many rows as there are shuffle partitions.
+    """
+    spark = edges.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, -(-edges.count() // tasks))
+    many = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
+    rows = [(r["node"], -(-r["n"] // share)) for r in many.collect()]  # fewer than tasks, by pigeonhole
+    heavy = spark.createDataFrame(rows, edges.select(F.col("src").alias("node")).schema.add("parts", "integer"))
+    e = edges.select(F.col("src").alias("node"), "dst").join(F.broadcast(heavy), "node", "left")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("dst"), F.col("parts"))).otherwise(0).cast("int")
+    return placed(e.select("node", part.alias("part"), "dst"), "node", "part"), heavy
+
+
+def _ask(frontier: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The frontier once for each part of its nodes' edges."""
+    f = frontier.join(F.broadcast(heavy), "node", "left")
+    return f.select(*frontier.columns, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+
+
 def reach_internal(edges: DataFrame, defined: DataFrame, starts: DataFrame, max_depth: int = 10) -> DataFrame:
     """reach() over defined nodes only (column 'node'); here a depth of 0 gives the entries alone."""
     if max_depth <= 0:
@@ -153,20 +177,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level): callees first, level 0 for nodes that call nothing; nodes on or above a cycle have level -1."""
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
-    left, out, level = nodes, None, 0
-    while True:
-        ready = cut(left.join(e.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        out = ready if out is None else out.union(ready)
-        left = cut(left.join(ready.select("node"), "node", "left_anti"))
-        e = cut(e.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    """(node, level): callees first, level 0 for nodes that call nothing; nodes on or above a cycle have level -1.
+
+    A node is ready once all its edges have been passed back from ready callees.  A round shuffles the edges of
+    its new nodes only; counts so far lie by node.  There are as many rounds as levels.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst AND src IS NOT NULL AND dst IS NOT NULL").distinct())
+    need = placed(e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need")), "node")
+    back, heavy = _by_source(reversed_edges(e))
+    out = frontier = placed(e.select(F.col("dst").alias("node")).distinct().join(need.select("node"), "node", "left_anti").withColumn("level", F.lit(0)), "node")
+    passed, level = None, 0
+    while not frontier.isEmpty():
         level += 1
-    rest = left.withColumn("level", F.lit(-1))
-    return rest if out is None else out.union(rest)
+        got = placed(_ask(frontier.select("node"), heavy).join(back, ["node", "part"]).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("c")))
+        passed = got if passed is None else passed.unionByName(got)
+        sums = passed.join(got.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("c").alias("c"))
+        frontier = placed(sums.join(need, "node").where("c = need").select("node", F.lit(level).alias("level")))
+        out = out.unionByName(frontier)
+        if level % 8 == 0:
+            passed, out = placed(passed.groupBy("node").agg(F.sum("c").alias("c"))), placed(out)
+    return out.unionByName(need.select("node").join(out.select("node"), "node", "left_anti").withColumn("level", F.lit(-1)))
 
 
 def leaves(edges: DataFrame) -> DataFrame:

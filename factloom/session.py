@@ -45,6 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def placed(df: DataFrame, *keys: str) -> DataFrame:
+    """cut() of a table hashed by keys into spark.sql.shuffle.partitions parts, so that later joins and groups on them don't shuffle it.
+
+    Without keys the table's own partitioning is kept.  Adaptive execution is off while the table is planned, as it forgets the
+    partitioning of what it runs; so keys have to be even.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys) if keys else df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as a table of the shared folder and read it again."""
     spark = df.sparkSession
