@@ -43,4 +43,5 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
 def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() >= 0
+    """Queries without SQL are tested on made tables elsewhere; here they have to find something in the smallest ones."""
+    assert entry.queries()[name](spark, SF).count() > 0

@@ -88,3 +88,24 @@ def test_table(spark):
     assert [(r["id"], r["child"], r["parent_pos"], r["pos"], r["fields"]) for r in got] == [(1, "step", -1, 0, {"a": "1"})] * 2
     assert child_tables(df.limit(0), "id", {"path_json": FINDING_CHILDREN["path_json"]}).count() == 0
     assert {(r["path"], tuple(r["ordinals"]), r["value"]) for r in triple_table(df, "id", "path_json").collect()} == {("*.a", (0,), "1")}
+
+
+def test_fields_and_triples_of_made_rows(spark, tmp_path):
+    import json
+
+    from factloom.plans.problems import QUERIES
+    from tests.fixture_tables import finding, folder
+
+    extra = {"affected_functions": ["a", None, {"name": "b", "line": 3}], "data_flow": {"hops": [{"at": "1", "refs": ["x", {"to": "y"}]}, {"_truncated": True}, {"at": "2", "refs": []}], "mode": "fw"}}
+    rows = [finding(1, extra_json=json.dumps(extra), guards_json='{"guard_type": "canary", "checks": ["p", {"q": 1}]}'), finding(2, extra_json='{"a": [1, [2, {"b": null}]], "c": {}}'), finding(3, extra_json='{"a": 1'), finding(4), finding(5, extra_json="")]
+    d = folder(spark, tmp_path, True, findings=rows)
+    got = sorted(tuple(r) for r in QUERIES["p5_fields"](spark, d).select("id", "child", "parent_pos", "pos", "field", "value").collect())
+    assert got == sorted(
+        [
+            (1, "affected", -1, 0, "", "a"), (1, "affected", -1, 2, "name", "b"), (1, "affected", -1, 2, "line", "3"), (1, "hop", -1, 0, "at", "1"), (1, "hop", -1, 2, "at", "2"),
+            (1, "ref", 0, 0, "", "x"), (1, "ref", 0, 1, "to", "y"), (1, "guard", -1, 0, "guard_type", "canary"), (1, "check", 0, 0, "", "p"), (1, "check", 0, 1, "q", "1"),
+        ]
+    )
+    got = sorted((r["path"], r["ordinals"], r["value"]) for r in QUERIES["p5_triples"](spark, d).where("id = 2").select("path", "ordinals", "value").collect())
+    assert got == [("a.*", "0", "1"), ("a.*.*", "1.0", "2"), ("a.*.*.b", "1.1", None), ("c", "", None)]
+    assert sorted(r["id"] for r in QUERIES["p5_triples"](spark, d).select("id").distinct().collect()) == [1, 2]
