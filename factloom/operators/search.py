@@ -109,20 +109,43 @@ def candidates(functions: DataFrame) -> DataFrame:
     return d.select("module", "id", "name", "has_code", "has_danger", "d.dim", "d.pos", F.explode("d.texts").alias("text")).where("text IS NOT NULL AND text <> ''")
 
 
+#: What a match among imports counts of one elsewhere, and the id of texts that belong to no function.
+IMPORT_FACTOR, NO_ID = 0.9, -1
+
+
+def with_module_texts(candidates_: DataFrame, exports: DataFrame, imports: DataFrame) -> DataFrame:
+    """Candidates and the texts of modules: exports (module, name, function_id) and imports (module, name), with flags `app`, `exported` and a `factor`.
+
+    Exports count under their function, if it is known; imports under their name.  Functions that are exported have the flag in all dimensions.
+    """
+    e = exports.select("module", "name", F.coalesce("function_id", F.lit(NO_ID)).alias("id")).where("name IS NOT NULL").distinct()
+    known = e.where(F.col("id") != NO_ID).select("module", "id").distinct().withColumn("exported", F.lit(True))
+    base = candidates_.join(known, ["module", "id"], "left").withColumn("exported", F.coalesce("exported", F.lit(False)))
+    flags = candidates_.groupBy("module", "id").agg(F.bool_or("has_code").alias("has_code"), F.bool_or("has_danger").alias("has_danger"))
+    no = F.lit(False)
+    e = e.join(flags, ["module", "id"], "left").select("module", "id", "name", F.coalesce("has_code", no).alias("has_code"), F.coalesce("has_danger", no).alias("has_danger"), F.lit("export").alias("dim"), F.lit(6).alias("pos"), F.col("name").alias("text"), F.lit(True).alias("exported"))
+    i = imports.select("module", F.lit(NO_ID).cast("bigint").alias("id"), "name", no.alias("has_code"), no.alias("has_danger"), F.lit("import").alias("dim"), F.lit(7).alias("pos"), F.col("name").alias("text"), no.alias("exported")).where("name IS NOT NULL").distinct()
+    out = base.unionByName(e).unionByName(i)
+    return out.withColumn("app", F.col("dim") != "import").withColumn("factor", F.when(F.col("dim") == "import", IMPORT_FACTOR).otherwise(1.0))
+
+
 def search(table: DataFrame, quality: Column, dims: Sequence[str] | None = None, per_dim: int | None = None) -> DataFrame:
     """(module, id, name, score, dim, dims): each function once, best dimension first, with a bonus for further ones.
 
     The best text of each dimension counts; ties go to the earlier dimension.  per_dim keeps the best
-    rows of each dimension, after scoring.
+    rows of each dimension, after scoring.  Columns app, exported and factor (of with_module_texts) count where the
+    table has them; texts of no function come together by name in any case.
     """
     t = table if dims is None else table.where(F.col("dim").isin(list(dims)))
     hit = t.withColumn("quality", quality).where("quality IS NOT NULL")
-    hit = hit.withColumn("score", relevance(F.col("quality"), F.lit(True), F.col("has_code"), F.lit(False), F.col("has_danger")))
-    best = hit.groupBy("module", "id", "dim", "pos").agg(F.min("name").alias("name"), F.max("score").alias("score"))
+    has = lambda c, v: F.col(c) if c in table.columns else F.lit(v)
+    score = relevance(F.col("quality"), has("app", True), F.col("has_code"), has("exported", False), F.col("has_danger"))
+    hit = hit.withColumn("score", F.round(score * has("factor", 1.0), 4)).withColumn("__key", F.when(F.col("id") == NO_ID, F.lower("name")))
+    best = hit.groupBy("module", "id", "__key", "dim", "pos").agg(F.min("name").alias("name"), F.max("score").alias("score"))
     if per_dim is not None:
-        r = F.row_number().over(W.partitionBy("dim").orderBy(F.desc("score"), "module", "id"))
+        r = F.row_number().over(W.partitionBy("dim").orderBy(F.desc("score"), "module", "id", "__key"))
         best = best.withColumn("__r", r).where(F.col("__r") <= per_dim).drop("__r")
-    flat = best.groupBy("module", "id").agg(F.min("name").alias("name"), F.max(F.struct("score", -F.col("pos"), "dim")).alias("b"), F.count(F.lit(1)).alias("dims"))
+    flat = best.groupBy("module", "id", "__key").agg(F.min("name").alias("name"), F.max(F.struct("score", -F.col("pos"), "dim")).alias("b"), F.count(F.lit(1)).alias("dims"))
     bonus = F.when(F.col("dims") > 1, F.least(F.lit(MOST_BONUS), BONUS * F.col("dims"))).otherwise(0.0)
     return flat.select("module", "id", "name", F.least(F.lit(1.0), F.round(F.col("b.score") + bonus, 4)).alias("score"), F.col("b.dim").alias("dim"), "dims")
 

@@ -13,6 +13,7 @@ from factloom.operators import graph as G
 from factloom.operators import modules as M
 from factloom.operators import relational as R
 from factloom.operators import reports as P
+from factloom.operators import search as S
 from factloom.plans.facts import _DEF
 from factloom.session import cut
 
@@ -354,3 +355,22 @@ def largest_modules(spark, d):
     """The first modules by size under a cap, as a report of the largest ones."""
     g = _parsed(spark, d).groupBy("module").agg(F.count("function_name").alias("k"), F.count(F.lit(1)).alias("n"))
     return R.top(g.select("module", (F.col("k") > 0).cast("int").alias("known"), "n"), [F.desc("n"), F.col("module")], 20)
+
+
+@query(
+    "WITH"
+    + _PE
+    + """, c AS (SELECT module, function_id AS id, function_name AS name, coalesce(decompiled_code, '') <> '' AS code, len(dangerous) > 0 AS danger, function_signature AS sg, strings, dangerous, [y.function_name for y in outbound] AS apis, CASE WHEN vtable_contexts LIKE '[{%' THEN json_extract_string(vtable_contexts, '$[*].reconstructed_classes[*]') ELSE [] END AS classes FROM f),
+xf AS (SELECT DISTINCT module, ordinal AS id FROM ex),
+t AS (SELECT module, id, name, code, danger, dim, pos, unnest(texts) AS text, (module, id) IN (SELECT (module, id) FROM xf) AS exported, 1.0 AS factor, true AS app FROM c, LATERAL (VALUES ('name', 0, [name]), ('signature', 1, [sg]), ('string', 2, strings), ('api', 3, apis), ('dangerous', 4, dangerous), ('class', 5, classes)) AS v(dim, pos, texts)
+ UNION ALL SELECT DISTINCT e.module, e.ordinal, e.name, c.code, c.danger, 'export', 6, e.name, true, 1.0, true FROM ex e JOIN c ON c.module = e.module AND c.id = e.ordinal UNION ALL SELECT DISTINCT module, -1, name, false, false, 'import', 7, name, false, 0.9, false FROM im),
+q AS (SELECT *, CASE WHEN lower(text) = 'next' THEN 1.0 WHEN strpos(lower(text), 'next') = 1 THEN 0.85 WHEN strpos(lower(text), 'next') > 1 AND (substr(text, strpos(lower(text), 'next') - 1, 1) = '_' OR regexp_matches(substr(text, strpos(lower(text), 'next') - 1, 2), '^[a-z][A-Z]$')) THEN 0.75 WHEN strpos(lower(text), 'next') > 1 THEN 0.6 END AS quality FROM t WHERE text <> ''),
+h AS (SELECT *, round(least(1.0, round(quality * 0.5 + CASE WHEN app THEN 0.15 ELSE 0 END + CASE WHEN code THEN 0.1 ELSE 0 END + CASE WHEN exported THEN 0.1 ELSE 0 END + CASE WHEN danger THEN 0.05 ELSE 0 END, 4)) * factor, 4) AS score, CASE WHEN id = -1 THEN lower(name) END AS k FROM q WHERE quality IS NOT NULL),
+bb AS (SELECT module, id, k, dim, pos, min(name) AS name, max(score) AS score FROM h GROUP BY 1, 2, 3, 4, 5), gg AS (SELECT module, id, k, min(name) AS name, max(score) AS best, arg_max(dim, (score, -pos)) AS dim, count(*) AS dims FROM bb GROUP BY 1, 2, 3)
+SELECT module, id, name, CAST(least(1.0, round(best + CASE WHEN dims > 1 THEN least(0.15, 0.05 * dims) ELSE 0 END, 4)) AS DOUBLE) AS score, dim, dims FROM gg"""
+)
+def search_all_dimensions(spark, d):
+    """One text in all eight dimensions, exports and imports included."""
+    ex = _exports(spark, d).select("module", "name", F.col("ordinal").alias("function_id"))
+    c = S.with_module_texts(S.candidates(_parsed(spark, d)), ex, _imports(spark, d).select("module", "name"))
+    return S.search(c, S.substring_quality(F.col("text"), "next"))

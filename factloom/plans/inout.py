@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.columns import computed, table, unit_number
 from factloom.operators import store
-from factloom.session import shared_dir, written
+from factloom.session import own_folder, written
 from factloom.sources import readers, sinks
 from factloom.streaming import windows
 
@@ -27,11 +25,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark, name: str) -> str:
-    """A folder of this run's own in the shared one."""
-    return f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
-
-
 def _texts(df: DataFrame, path: str) -> None:
     """Write rows (module, value) as text files, a folder per module, a line per row."""
     df.write.partitionBy("module").text(path)
@@ -44,7 +37,7 @@ def json_index(spark, d):
     """Function indexes as JSON objects, a file per task and module, read as indexes again."""
     f = table(spark, d, "module_functions").where("function_name IS NOT NULL").groupBy(F.lower("module_id").alias("module"), "function_name").agg(F.min(F.struct("function_id", "decompiled_code")).alias("f"))
     one = F.to_json(F.create_map("function_name", F.struct(F.col("f.function_id").alias("function_id"), (F.coalesce("f.decompiled_code", F.lit("")) != "").alias("has_decompiled"), F.array(F.lit("a.c")).alias("files"))))
-    path = _folder(spark, "index")
+    path = own_folder(spark, "index")
     _texts(f.select("module", one.alias("value")), path)
     return readers.function_index(spark, path, lines=True).groupBy("module", "name").agg(F.min("function_id").alias("function_id"), F.bool_or("has_decompiled").alias("has_decompiled"), F.count(F.lit(1)).alias("n"))
 
@@ -53,7 +46,7 @@ def json_index(spark, d):
 def module_profiles(spark, d):
     """Profiles of modules as JSON texts, read as variants again."""
     p = table(spark, d, "module_functions").groupBy(F.lower("module_id").alias("module")).agg(F.count(F.lit(1)).alias("n"))
-    path = _folder(spark, "profile")
+    path = own_folder(spark, "profile")
     _texts(p.select("module", F.to_json(F.struct(F.struct(F.col("n").alias("function_count")).alias("scale"))).alias("value")), path)
     return readers.profiles(spark, path).select("module", F.try_variant_get("profile", F.lit("$.scale.function_count"), "bigint").alias("functions"))
 
@@ -62,7 +55,7 @@ def module_profiles(spark, d):
 def discovered_files(spark, d):
     """Files under a folder, listed without reading them, with statistics per module."""
     f = table(spark, d, "analyzed_files").where("file_extension IS NOT NULL").select(F.lower("file_extension").alias("module"), F.col("file_name").alias("value"))
-    path = _folder(spark, "files")
+    path = own_folder(spark, "files")
     _texts(f, path)
     found = readers.discovered(spark, path, "*.txt").withColumn("module", F.regexp_extract("path", r"([^/]+)/[^/]*$", 1))
     return readers.file_stats(found).select("module", ((F.col("n") > 0) & (F.col("bytes") > 0)).alias("found"))
@@ -91,7 +84,7 @@ def stub_procedures(spark, d):
     h = lambda a, n: F.substring("md5_hash", a, n)
     uuid_ = F.concat_ws("-", h(1, 8), h(9, 4), h(13, 4), h(17, 4), h(21, 12))
     text = F.concat(F.lit("// interface "), uuid_, F.lit("\n    public int Open(string name, byte[] data)\n    public void Close()"))
-    path = _folder(spark, "stubs")
+    path = own_folder(spark, "stubs")
     _texts(table(spark, d, "analyzed_files").where("md5_hash IS NOT NULL").select(F.col("md5_hash").alias("module"), text.alias("value")), path)
     return readers.stub_procedures(spark, path).select("interface_id", F.col("position").cast("int").alias("position"), "procedure", F.array_join("parameters", ",").alias("parameters"))
 
@@ -139,7 +132,7 @@ def payload_sizes(spark, d):
 def json_emission(spark, d):
     """Rows as JSON texts, written at once, and read by a schema again."""
     r = table(spark, d, "scan_runs").select("run_id", "status")
-    path = _folder(spark, "emitted")
+    path = own_folder(spark, "emitted")
     sinks.write_table(sinks.as_json(r, "value"), path, "text")
     back = spark.read.schema(r.schema).json(path)
     return back.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.min(F.length("run_id")).alias("shortest").cast("bigint"))
@@ -165,7 +158,7 @@ def _streamed(spark, d, name: str, columns: list[str]) -> DataFrame:
 @query("SELECT user_id, max(value) AS value FROM events GROUP BY 1")
 def streamed_upsert(spark, d):
     """Events upserted from a stream, batch by batch, and the store as it is then."""
-    path = _folder(spark, "upserted")
+    path = own_folder(spark, "upserted")
     src = _streamed(spark, d, "events", ["event_id", "user_id", "value"])
     sink = windows.upsert_sink(path, "user_id", "value", "event_id", [])
     q = src.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
@@ -178,10 +171,22 @@ def streamed_upsert(spark, d):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def streamed_distinct(spark, d):
     """Rows of a stream without repeats of their keys inside a watermark as long as the events."""
-    path = _folder(spark, "distinct")
+    path = own_folder(spark, "distinct")
     src = windows.distinct_within(_streamed(spark, d, "events", ["ts", "user_id", "event_type"]), "ts", ["user_id", "event_type"], "3650 days")
     q = src.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
     return spark.read.schema(src.schema).parquet(path).select("user_id", "event_type")
+
+
+@query("SELECT user_id, max(value) AS value FROM events GROUP BY 1")
+def streamed_rising(spark, d):
+    """Scores that rose above all before, by state per key; of the rows that came out the last of each key."""
+    path = own_folder(spark, "rising")
+    out = windows.rising_scores(_streamed(spark, d, "events", ["user_id", "value"]), "user_id", "value")
+    q = out.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return spark.read.schema(out.schema).parquet(path).groupBy("user_id").agg(F.max("value").alias("value"))

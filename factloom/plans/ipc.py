@@ -269,6 +269,16 @@ def template_decode(spark, d):
     return table(spark, d, "analyzed_files").select("file_name", t.alias("t")).select("file_name", F.col("t.flags").cast("bigint").alias("flags"), "t.weak", F.array_join("t.interfaces", ",").alias("interfaces"), "t.free_threaded")
 
 
+@query("""WITH t AS (SELECT file_extension AS e, 'RuntimeClass' || (length(file_name) % 3) AS c, length(file_name) % 3 AS k FROM analyzed_files) SELECT c AS class, CASE WHEN k = 1 THEN 'IA,IB<IC,ID>' ELSE 'IA' END AS interfaces FROM t WHERE e IS NOT NULL GROUP BY c, k""")
+def class_interface_map(spark, d):
+    """The interfaces that templates list for each class."""
+    k = F.length("file_name") % 3
+    name = F.concat(F.lit("RuntimeClass"), k, F.lit("::Base<RuntimeClass<RuntimeClassFlags<1>,IA"), F.when(k == 1, ",IB<IC,ID>").otherwise(""), F.lit(">::Run"))
+    f = table(spark, d, "analyzed_files").where("file_extension IS NOT NULL").select(name.alias("n"))
+    m = I.class_interfaces(f.select(F.col("n")), "n")
+    return m.groupBy(F.regexp_extract("class", "^(RuntimeClass[0-9])", 1).alias("class")).agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("interfaces")))), ",").alias("interfaces"))
+
+
 @query("""SELECT file_name, count(*) AS guids FROM (SELECT file_name, unnest(regexp_extract_all('id ' || substr(md5_hash, 1, 8) || '-' || substr(md5_hash, 9, 4) || '-' || substr(md5_hash, 13, 4) || '-' || substr(md5_hash, 17, 4) || '-' || substr(md5_hash, 21, 12) || ' end', '[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}')) AS g FROM analyzed_files) GROUP BY 1""")
 def guids_in_text(spark, d):
     h = lambda a, n: F.substring("md5_hash", a, n)

@@ -21,6 +21,7 @@ def build_session(app: str = "factloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
@@ -36,9 +37,23 @@ def shared_dir(spark: SparkSession) -> str:
         if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="factloom-"))
+        drop_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's own once it ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for this application only."""
+    path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a DataFrame in the shared folder, so that later work survives lost executors."""
     shared_dir(df.sparkSession)
@@ -63,7 +78,7 @@ def placed(df: DataFrame, *keys: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as a table of the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/factloom/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from factloom.operators import store
 
@@ -71,15 +72,31 @@ def read_upserted(spark, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/version={v}")
 
 
-def rising_scores(df: DataFrame, key: str, score: str) -> DataFrame:
-    """(key, score) whenever a key's score rises above all before; state is one number per key."""
-    key_type, score_type = dict(df.dtypes)[key], "double"
+#: Keeps state on disk beside memory; states of transformWithStateInPandas need it.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Rising(StatefulProcessor):
+    """Gives a key's score whenever it is above all before; the state is one number per key."""
+
+    def __init__(self, key: str, score: str):
+        self.key, self.score = key, score
 
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else float("-inf")
-        top = max((p[score].max() for p in parts), default=float("-inf"))
-        if top > best:
-            state.update((float(top),))
-            yield pd.DataFrame({key: [k[0]], score: [float(top)]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.best = handle.getValueState("best", "value double")
 
-    return df.select(key, F.col(score).cast(score_type).alias(score)).where(F.col(score).isNotNull()).groupBy(key).applyInPandasWithState(step, f"{key} {key_type}, {score} double", "best double", "append", "NoTimeout")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - the interface's names
+        top = max((float(p[self.score].max()) for p in rows), default=float("-inf"))
+        if not self.best.exists() or top > self.best.get()[0]:
+            self.best.update((top,))
+            yield pd.DataFrame({self.key: [key[0]], self.score: [top]})
+
+    def close(self) -> None:
+        pass
+
+
+def rising_scores(df: DataFrame, key: str, score: str) -> DataFrame:
+    """(key, score) of a stream whenever a key's score rises above all before; null and NaN scores never do."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    ok = df.select(key, F.col(score).cast("double").alias(score)).where(F.col(score).isNotNull() & ~F.isnan(score))
+    return ok.groupBy(key).transformWithStateInPandas(_Rising(key, score), f"{key} {dict(df.dtypes)[key]}, {score} double", "Append", "None")

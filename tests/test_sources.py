@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import json
 
 import pytest
@@ -117,3 +119,21 @@ def test_streaming_upsert(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["k"]: r["score"] for r in windows.read_upserted(spark, path).collect()} == {f"k{i}": 36.0 + i for i in range(4)}
+
+
+def test_progress_of_a_stream(spark, events, tmp_path):
+    from factloom.streaming.progress import watch
+
+    told = []
+    p = watch(spark, lambda name, batch, rows, total: told.append((name, batch, rows, total)))
+    try:
+        q = stream(spark, events, tmp_path / "in").writeStream.format("noop").queryName("watched").option("checkpointLocation", str(tmp_path / "c")).start()
+        q.processAllAvailable()
+        q.stop()
+        for _ in range(50):
+            if any(t[0] == "watched" and t[3] == events.count() for t in told):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(p)
+    assert any(t[0] == "watched" and t[3] == events.count() for t in told)
