@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from factloom.columns import computed, table, unit_number
 from factloom.functions.cleaning import function_number, micros, module_key, name_key, slug, strip_blank
 from factloom.llm.cutoff import cutoffs, valid_interest
-from factloom.llm.encode import encode
-from factloom.llm.mix import mix, packed
 from factloom.llm.oracles import ORACLES
 from factloom.llm.segments import END, near_repeats, repeats
-from factloom.llm.sentences import sentences
 from factloom.llm.survivor import MAX_VALUES, current_value, declared_precedence, learn_precedence, survivor_ids, topological_rank, with_evidence_lines
 from factloom.llm.topn import bucket, ranked, survivors
 from factloom.operators.skew import lookup_join
@@ -122,24 +119,37 @@ def p6_near(spark: SparkSession, d: str) -> DataFrame:
     return near_repeats(rows, "summary", ["started", "created"], "id")
 
 
+# Tokenizers and character properties are imported where they are used: the other queries don't need their libraries.
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm.encode import encode
+
     return encode(table(spark, d, "documents"), "doc_id", "text")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm.mix import packed
+
     return packed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].where("NOT reachable").select("source")
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares that a mixture as large as its sources reaches."""
+    from factloom.llm.mix import mix
+
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm.mix import mix
+
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from factloom.llm.sentences import sentences
+
     return sentences(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
