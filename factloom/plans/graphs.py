@@ -164,7 +164,7 @@ def forwarder_chain(spark, d):
 
 @query(
     f"""WITH RECURSIVE {_E}, p AS (SELECT [entry] AS path, entry AS node FROM s UNION ALL SELECT list_append(p.path, e.dst), e.dst FROM p JOIN e ON e.src = p.node WHERE len(p.path) < 4 AND NOT list_contains(p.path, e.dst)),
-t AS (SELECT min(dst) AS target FROM e WHERE src = (SELECT entry FROM s)) SELECT array_to_string(path, '>') AS path FROM p WHERE node = (SELECT target FROM t) AND len(path) > 1 ORDER BY len(path), path LIMIT 100"""
+t AS (SELECT min(dst) AS target FROM e WHERE src = (SELECT entry FROM s)) SELECT array_to_string(path, '>') AS path FROM p WHERE node = (SELECT target FROM t) AND len(path) > 1 ORDER BY len(p.path), p.path LIMIT 100"""
 )
 def simple_paths(spark, d):
     e = cut(part_edges(spark, d))
