@@ -12,12 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.session import cut
+
 # Qualities of a match and weights of a score.
 EXACT, PREFIX, BOUNDARY, INSIDE = 1.0, 0.85, 0.75, 0.6
 WEIGHT, APP, CODE, EXPORT, DANGER = 0.5, 0.15, 0.10, 0.10, 0.05
 BONUS, MOST_BONUS = 0.05, 0.15
-#: Texts that resolve() may have to look for inside names; each is tried on every name.
+#: Up to so many texts resolve() tries each on every name; more are joined by what they begin with (held()).
 MOST_WANTED = 1_000
+#: Characters that held() joins on.
+GRAM = 3
 
 
 def substring_quality(text: Column, query: str) -> Column:
@@ -159,6 +163,20 @@ def snippet(text: Column, query: str, before: int = 20, after: int = 40) -> Colu
     return F.when(at > 0, F.concat(F.when(a > 1, "...").otherwise(""), F.substring(text, a, n), cutoff))
 
 
+def held(names: DataFrame, name: str, wanted: DataFrame, text: str) -> DataFrame:
+    """Pairs of a name and a wanted text that it holds, by an equality join on the text's first characters.
+
+    Each name is listed under all its different pieces of up to GRAM characters, each text under its first one, so
+    any number of texts can be looked for.  Null names hold nothing; a null or empty text is held by none.
+    """
+    at = F.sequence(F.lit(1), F.length(name))
+    of = lambda k: F.transform(at, lambda i: F.substring(F.col(name), i, F.lit(k)))
+    pieces = F.array_distinct(F.flatten(F.array(*map(of, range(1, GRAM + 1)))))
+    n = names.where(F.length(name) > 0).withColumn("__gram", F.explode(pieces))
+    w = wanted.where(F.length(text) > 0).withColumn("__gram", F.substring(text, 1, GRAM))
+    return n.join(w, "__gram").where(F.contains(F.col(name), F.col(text))).drop("__gram")
+
+
 def resolve(names: DataFrame, wanted: DataFrame) -> DataFrame:
     """(wanted, module, name, how): each wanted text as an id, an exact name, else a substring that only one name has; ambiguous ones say so.
 
@@ -169,9 +187,8 @@ def resolve(names: DataFrame, wanted: DataFrame) -> DataFrame:
     by_id = w.join(n, F.col("__id") == F.col("id")).select("wanted", "module", "name", F.lit("id").alias("how"), F.lit(0).alias("p"))
     exact = w.join(n, F.col("__w") == F.col("__low")).select("wanted", "module", "name", F.lit("exact"), F.lit(1))
     rest = w.join(by_id.select("wanted").union(exact.select("wanted")).distinct(), "wanted", "left_anti")
-    if rest.limit(MOST_WANTED + 1).count() > MOST_WANTED:
-        raise ValueError(f"more than {MOST_WANTED} texts to look for as substrings")
-    part = n.join(F.broadcast(rest), F.contains(F.col("__low"), F.col("__w")))
+    rest = cut(rest)
+    part = n.join(F.broadcast(rest), F.contains(F.col("__low"), F.col("__w"))) if rest.limit(MOST_WANTED + 1).count() <= MOST_WANTED else held(n, "__low", rest, "__w")
     one = part.groupBy("wanted").agg(F.count(F.lit(1)).alias("c"), F.min("module").alias("module"), F.min("name").alias("name"))
     partial = one.select("wanted", F.when(F.col("c") == 1, F.col("module")).alias("module"), F.when(F.col("c") == 1, F.col("name")).alias("name"), F.when(F.col("c") == 1, "partial").otherwise("ambiguous"), F.lit(2))
     every = by_id.union(exact).union(partial)

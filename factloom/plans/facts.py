@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from factloom.columns import table
 from factloom.functions import scalar
 from factloom.model import has_value, parsed_functions, xref_name
-from factloom.operators import graph, layouts, modules
+from factloom.operators import graph, layouts, measures, modules
 from factloom.operators import relational as R
 
 BIG = "bigint"
@@ -188,9 +188,7 @@ def dangerous_ranking(spark, d):
  FROM module_functions WHERE CAST(json_extract(loop_analysis, '$.loop_count') AS BIGINT) > 0"""
 )
 def loop_metrics(spark, d):
-    f = fn(spark, d).where("loops.loop_count > 0")
-    most = lambda k: F.array_max(F.transform("loops.loops", lambda x: x[k])).cast(BIG)
-    return f.select("module", "function_id", F.col("loops.loop_count").cast(BIG).alias("loops"), most("nesting_level").alias("nesting"), most("cyclomatic_complexity").alias("complexity"))
+    return measures.loop_metrics(fn(spark, d))
 
 
 @query("WITH" + _DEF + "SELECT module, function_id, len(outbound) AS hub FROM f ORDER BY hub DESC, module, function_id LIMIT 30")
@@ -206,10 +204,7 @@ def hub_scores(spark, d):
 SELECT module, function_id, count(*) FILTER (lower(g.access_type) = 'read') AS reads, count(*) FILTER (lower(g.access_type) = 'write') AS writes, array_to_string(list_sort(list_distinct(list(g.name)))[1:10], ',') AS names FROM g GROUP BY 1, 2"""
 )
 def global_state(spark, d):
-    f = fn(spark, d).where(F.size("globals") > 0)
-    n = lambda k: F.size(F.filter("globals", lambda x: F.lower(x["access_type"]) == k)).cast(BIG)
-    names = F.slice(F.array_sort(F.array_distinct(F.transform("globals", lambda x: x["name"]))), 1, 10)
-    return f.select("module", "function_id", n("read").alias("reads"), n("write").alias("writes"), F.array_join(names, ",").alias("names"))
+    return measures.global_state(fn(spark, d))
 
 
 @query(
@@ -219,9 +214,7 @@ def global_state(spark, d):
 SELECT g.name AS name, count(DISTINCT (module, function_id)) FILTER (lower(g.access_type) = 'read') AS readers, count(DISTINCT (module, function_id)) FILTER (lower(g.access_type) = 'write') AS writers FROM g GROUP BY 1"""
 )
 def shared_state(spark, d):
-    g = fn(spark, d).select("module", "function_id", F.explode("globals").alias("g"))
-    who = lambda k: F.count_distinct(F.when(F.lower("g.access_type") == k, F.struct("module", "function_id")))
-    return g.groupBy(F.col("g.name").alias("name")).agg(who("read").alias("readers"), who("write").alias("writers"))
+    return measures.shared_state(fn(spark, d))
 
 
 @query(
@@ -248,9 +241,7 @@ def string_inventory(spark, d):
     """SELECT CASE WHEN analysis_errors IS NULL THEN 'none' WHEN analysis_errors LIKE '[%' THEN json_extract_string(analysis_errors, '$[0].stage') ELSE json_extract_string(analysis_errors, '$.stage') END AS stage, count(*) AS n FROM module_functions GROUP BY 1"""
 )
 def error_stages(spark, d):
-    v = F.try_parse_json("analysis_errors")
-    stage = F.coalesce(F.try_variant_get(v, "$[0].stage", "string"), F.try_variant_get(v, "$.stage", "string"), F.lit("none"))
-    return table(spark, d, "module_functions").groupBy(stage.alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "module_functions").groupBy(measures.error_stage(F.col("analysis_errors")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -274,9 +265,7 @@ def vtable_classes(spark, d):
 
 @query("WITH" + _DEF + ", x AS (SELECT module, unnest(outbound) AS x FROM f) SELECT module, lower(x.module_name) AS target, count(*) AS calls, count(DISTINCT x.function_name) AS names FROM x WHERE coalesce(x.module_name, '') <> '' AND lower(x.module_name) <> module GROUP BY 1, 2")
 def dependency_edges(spark, d):
-    x = fn(spark, d).select("module", F.explode("outbound").alias("x"))
-    t = F.lower("x.module_name")
-    return x.where((F.coalesce(t, F.lit("")) != "") & (t != F.col("module"))).groupBy("module", t.alias("target")).agg(F.count(F.lit(1)).alias("calls"), F.count_distinct(xref_name(F.col("x"))).alias("names"))
+    return measures.dependency_edges(fn(spark, d))
 
 
 @query(
@@ -286,9 +275,7 @@ def dependency_edges(spark, d):
 SELECT coalesce(o.module, i.module) AS module, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) AS fan_in FROM (SELECT module, count(*) AS fan_out FROM e GROUP BY 1) o FULL JOIN (SELECT target AS module, count(*) AS fan_in FROM e GROUP BY 1) i ON o.module = i.module"""
 )
 def dependency_overview(spark, d):
-    e = dependency_edges(spark, d).select("module", "target")
-    long = e.select("module", F.lit(1).alias("o"), F.lit(0).alias("i")).unionAll(e.select("target", F.lit(0), F.lit(1)))
-    return long.groupBy("module").agg(F.sum("o").cast(BIG).alias("fan_out"), F.sum("i").cast(BIG).alias("fan_in"))
+    return measures.fan(measures.dependency_edges(fn(spark, d)))
 
 
 @query(
@@ -309,8 +296,7 @@ def who_imports(spark, d):
     + """SELECT x.xref_type AS kind, count(*) AS n, count(DISTINCT x.function_name) AS names FROM (SELECT unnest(outbound) AS x FROM f) GROUP BY 1"""
 )
 def xref_mix(spark, d):
-    x = fn(spark, d).select(F.explode("outbound").alias("x"))
-    return x.groupBy(F.col("x.xref_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(xref_name(F.col("x"))).alias("names"))
+    return measures.xref_mix(fn(spark, d))
 
 
 @query(
@@ -417,9 +403,7 @@ def resolve_external(spark, d):
 SELECT module, functions, round(risky / functions, 4) AS risky_share, round(stringy / functions, 4) AS string_share, risky / functions >= 0.3 AS flagged FROM c"""
 )
 def module_fingerprint(spark, d):
-    c = fn(spark, d).groupBy("module").agg(F.count(F.lit(1)).alias("functions"), F.count_if(F.size("dangerous") > 0).alias("risky"), F.count_if(F.size("strings") > 0).alias("stringy"))
-    share = lambda k: F.col(k) / F.col("functions")
-    return c.select("module", "functions", F.round(share("risky"), 4).alias("risky_share"), F.round(share("stringy"), 4).alias("string_share"), (share("risky") >= 0.3).alias("flagged"))
+    return measures.fingerprint(fn(spark, d))
 
 
 @query("SELECT file_extension AS ext, status, count(*) AS n, CAST(grouping(file_extension, status) AS BIGINT) AS g FROM analyzed_files GROUP BY CUBE (file_extension, status)")

@@ -52,3 +52,15 @@ def test_snippet(spark):
     df = spark.createDataFrame([("a" * 50 + "KEY" + "b" * 50,), ("KEY",), ("no",)], "t string")
     got = [r[0] for r in df.select(S.snippet(F.col("t"), "key")).collect()]
     assert got == ["..." + "a" * 20 + "KEY" + "b" * 40 + "...", "KEY", None]
+
+
+def test_more_texts_than_are_tried_one_by_one(spark, monkeypatch):
+    from factloom.operators import search as S
+
+    names = spark.createDataFrame([("m", 1, "OnDispatch"), ("m", 2, "ParseHeader"), ("m", 3, "ParseFooter"), ("k", 4, None), ("k", 5, "")], "module string, id bigint, name string")
+    wanted = spark.createDataFrame([("dispatch",), ("parse",), ("foot",), ("r",), ("er",), ("nothing",), ("",), (None,)], "wanted string")
+    few = sorted(map(str, S.resolve(names, wanted.where("wanted <> ''")).collect()))
+    monkeypatch.setattr(S, "MOST_WANTED", 2)
+    assert sorted(map(str, S.resolve(names, wanted.where("wanted <> ''")).collect())) == few
+    got = sorted((r["name"], r["wanted"]) for r in S.held(names.withColumn("low", F.lower("name")), "low", wanted, "wanted").collect())
+    assert got == sorted((n, w) for n in ("OnDispatch", "ParseHeader", "ParseFooter") for w in ("dispatch", "parse", "foot", "r", "er", "nothing") if w in n.lower())
