@@ -150,6 +150,10 @@ def _inner(value):
     return value
 
 
+#: Texts of more characters are read as a stream of triples, so that the parsed record is never held whole.
+STREAMED = 65_536
+
+
 class _Empty:
     __slots__ = ()
 
@@ -185,6 +189,106 @@ def triples(value, repeated: frozenset[Path]) -> Iterator[tuple[Path, tuple[int,
             yield path, at, v
 
 
+_TOKEN = re.compile(r'[ \t\n\r]*(?:([\[\]{},:])|(")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?)|(true|false|null))')
+
+
+def streamed(text: str, repeated: frozenset[Path]) -> Iterator[tuple[Path, tuple[int, ...], object]]:
+    """The triples of triples(parse_through(text)), while the text is read: what is held is one path, not the record.
+
+    NotJson is raised where the text turns out not to be whole; what was given before doesn't count then.
+    Texts whose outermost value is a string are read through it.  Of a repeated key every value comes out, in order, so that
+    the last one counts, as in parse(); a value's leaves below an earlier one stay if the later one has no such leaf.
+    """
+    at, n = 0, len(text)
+    stack: list[list] = []  # [is it a list, path of its elements or of itself, ordinals, next index or None, is it empty]
+    place: tuple[Path, tuple[int, ...]] | None = ((), ())  # of the value to come; None: after a value
+    key_due = False
+    while True:
+        m = _TOKEN.match(text, at)
+        if m is None:
+            if text[at:].strip(" \t\n\r"):
+                raise NotJson("no token")
+            if stack or place is not None:
+                raise NotJson("it ends early")
+            return
+        mark, quote, number, word = m.groups()
+        at = m.end()
+        if not stack and place is None:
+            raise NotJson("something follows the value")
+        if quote:
+            string, at = json.decoder.scanstring(text, at, True)
+            if key_due:
+                m = _TOKEN.match(text, at)
+                if m is None or m.group(1) != ":":
+                    raise NotJson("a key without a value")
+                at, key_due = m.end(), False
+                top = stack[-1]
+                top[4] = False
+                place = ((*top[1], string), top[2])
+                continue
+            if place is None:
+                raise NotJson("a value without a comma")
+            if not stack:  # the outermost value
+                value = parse_through(text)
+                yield from triples(value, repeated) if value is not None else ()
+                return
+            yield from _placed(string, place, repeated)
+            place = None
+        elif number is not None or word:
+            if place is None or key_due:
+                raise NotJson("a value out of place")
+            value = _WORDS[word] if word else (float(number) if any(c in number for c in ".eE") else int(number))
+            if stack or value is not None:
+                yield from _placed(value, place, repeated)
+            place = None
+        elif mark in "[{":
+            if place is None or key_due:
+                raise NotJson("a value out of place")
+            path, ordinals = place
+            if mark == "[":
+                stack.append([True, (*path, EACH), ordinals, 0, True])
+                place = ((*path, EACH), (*ordinals, 0))
+            else:
+                if (*path, EACH) in repeated:  # a lone value is an array of one
+                    path, ordinals = (*path, EACH), (*ordinals, 0)
+                stack.append([False, path, ordinals, None, True])
+                place, key_due = None, True
+        elif mark in "]}":
+            top = stack[-1] if stack else None
+            if top is None or top[0] != (mark == "]") or not top[4] and (key_due or place is not None):
+                raise NotJson("an end out of place")
+            stack.pop()
+            if top[4]:
+                yield (top[1][:-1], top[2], EMPTY_LIST) if top[0] else (top[1], top[2], EMPTY)
+            place, key_due = None, False
+        elif mark == ",":
+            top = stack[-1] if stack else None
+            if top is None or place is not None or key_due:
+                raise NotJson("a comma out of place")
+            if top[0]:
+                top[3] += 1
+                place = (top[1], (*top[2], top[3]))
+            else:
+                key_due = True
+        else:
+            raise NotJson("a colon out of place")
+        if stack and place is None and not key_due and stack[-1][4] and not (mark in ("[", "{") if mark else False):
+            stack[-1][4] = False  # it has a value now
+
+
+def _placed(value, place: tuple[Path, tuple[int, ...]], repeated: frozenset[Path]) -> Iterator[tuple[Path, tuple[int, ...], object]]:
+    """The triples of a scalar, or of the object or array that a string holds, at its place."""
+    path, ordinals = place
+    if isinstance(value, str) and isinstance(inner := _inner(value), (dict, list)):
+        below = frozenset(p[len(path) :] for p in repeated if p[: len(path)] == path)
+        for p, at, v in triples(inner, below):
+            yield (*path, *p), (*ordinals, *at), v
+        return
+    while (*path, EACH) in repeated:
+        path, ordinals = (*path, EACH), (*ordinals, 0)
+    yield path, ordinals, value
+
+
 def _ancestor(path: Path) -> int:
     """Length of the path of the nearest repeated ancestor (0: the record itself)."""
     for i in range(len(path), 0, -1):
@@ -260,20 +364,25 @@ class Flattener:
         if not text:
             return
         try:
-            value = parse_through(text)
+            if len(text) > STREAMED:
+                found, tables = None, pivot(streamed(text, self.repeated))
+            else:
+                value = parse_through(text)
+                if value is None:
+                    return
+                found = list(triples(value, self.repeated))
+                tables = pivot(iter(found))
         except ValueError:
             return
-        if value is None:
-            return
-        found = list(triples(value, self.repeated))
-        tables = pivot(iter(found))
         shown: set[tuple[Path, tuple[int, ...]]] | None = None
         for path, (name, rather) in self.where.items():
             if path not in tables:
                 continue
             if rather is not None:
                 if shown is None:  # elements that have the first choice, be it null or empty of rows
-                    shown = {(p[: len(q)], at[: sum(x == EACH for x in q)]) for q in (w for _, w in self.where.values() if w) for p, at, _ in found if p[: len(q)] == q}
+                    again = found if found is not None else streamed(text, self.repeated)  # a long text is read once more
+                    wanted = [(q, sum(x == EACH for x in q)) for q in (w for _, w in self.where.values() if w)]
+                    shown = {(q, at[:k]) for p, at, _ in again for q, k in wanted if p[: len(q)] == q}
                 depth = sum(x == EACH for x in rather)
                 for at, fields in tables[path].items():
                     if (rather, at[:depth]) not in shown:

@@ -109,3 +109,47 @@ def test_fields_and_triples_of_made_rows(spark, tmp_path):
     got = sorted((r["path"], r["ordinals"], r["value"]) for r in QUERIES["p5_triples"](spark, d).where("id = 2").select("path", "ordinals", "value").collect())
     assert got == [("a.*", "0", "1"), ("a.*.*", "1.0", "2"), ("a.*.*.b", "1.1", None), ("c", "", None)]
     assert sorted(r["id"] for r in QUERIES["p5_triples"](spark, d).select("id").distinct().collect()) == [1, 2]
+
+
+NESTED = st.recursive(
+    st.none() | st.booleans() | st.integers(-9, 9) | st.floats(-5, 5) | st.sampled_from(["", "a", "[", "{x", '["q", {"checks": [1]}]', '{"a": [1, null]}', " [2]", "null", '"s"', 'é"\\']),
+    lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["checks", "conditions", "sites", "a", "_truncated"]), x, max_size=4),
+    max_leaves=14,
+)
+
+
+@settings(max_examples=500, deadline=None)
+@given(NESTED, st.booleans(), st.integers(0, 3))
+def test_a_stream_gives_the_same_rows(value, wrapped, cut_off):
+    from factloom.operators import nested as M
+
+    text = json.dumps(json.dumps(value) if wrapped else value, ensure_ascii=wrapped)
+    text = text[: len(text) - cut_off]
+    for children in M.FINDING_CHILDREN.values():
+        f = M.Flattener(children)
+        rows = lambda: sorted(repr((*r[:3], sorted(map(repr, r[3].items())))) for r in f.rows(text))  # noqa: B023, E731
+        want = rows()
+        before, M.STREAMED = M.STREAMED, -1
+        try:
+            assert rows() == want
+        finally:
+            M.STREAMED = before
+
+
+@pytest.mark.parametrize("text", ["[1,]", "[,1]", "{,}", '{"a" 1}', '{"a":}', '{"a":1,}', "[1 2]", "[1]]", "1 2", "[", "]", "{", "}", ":", ",", '["a":1]', "{1:2}", "nul", "[01]", '{"a":1 "b":2}', '["a" "b"]', "", " "])
+def test_a_stream_refuses_what_is_no_json(text):
+    from factloom.operators import nested as M
+
+    with pytest.raises(ValueError):
+        json.loads(text)
+    with pytest.raises(ValueError):
+        list(M.streamed(text, frozenset()))
+
+
+def test_long_texts_are_streamed(spark):
+    from factloom.operators import nested as M
+
+    guards = [{"guard_type": f"g{i}", "checks": [{"q": i}] * (i % 3)} for i in range(5000)]
+    df = spark.createDataFrame([(1, json.dumps(guards))], "id bigint, guards_json string")
+    got = M.child_tables(df, "id", {"guards_json": M.FINDING_CHILDREN["guards_json"]}).groupBy("child").count().collect()
+    assert {r["child"]: r["count"] for r in got} == {"guard": 5000, "check": sum(i % 3 for i in range(5000))}
