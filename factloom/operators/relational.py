@@ -106,7 +106,7 @@ def one_column(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Words that a read-only statement may not hold outside literals and comments.
-WRITE_WORDS = ("insert", "update", "delete", "drop", "alter", "create", "replace", "truncate", "attach", "detach", "merge")
+WRITE_WORDS = ("insert", "update", "delete", "drop", "alter", "create", "replace", "truncate", "attach", "detach", "merge", "reindex", "vacuum")
 
 
 def read_only_sql(statement: str, select_only: bool = True) -> str:

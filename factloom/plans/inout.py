@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.columns import computed, table, unit_number
+from factloom.operators import relational as R
 from factloom.operators import store
 from factloom.session import own_folder, written
 from factloom.sources import readers, sinks
@@ -145,6 +146,23 @@ def partitioned_table(spark, d):
     return f.groupBy("module").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT run_id, status, step_count FROM scan_runs")
+def json_envelopes(spark, d):
+    """Rows in JSON envelopes, written as texts and taken out of them again."""
+    r = table(spark, d, "scan_runs").select("run_id", "status", "step_count")
+    path = own_folder(spark, "envelopes")
+    sinks.write_table(sinks.enveloped(r, "run", "value"), path, "text")
+    v = spark.read.text(path).select(readers.unwrapped(readers.json_inside(F.col("value"))).alias("v"))
+    return v.select(*[F.try_variant_get("v", F.lit(f"$.{c}"), t).alias(c) for c, t in (("run_id", "string"), ("status", "string"), ("step_count", "int"))])
+
+
+@query("SELECT n_name AS nation, count(c_custkey) AS customers FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def opened_tables(spark, d):
+    """A checked statement over tables that were opened to be read only."""
+    t = readers.open_tables(spark, d, ["nation", "customer"])
+    return R.safe_select(spark, "SELECT n_name AS nation, count(c_custkey) AS customers FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey GROUP BY 1", **t)
+
+
 # ---------------------------------------------------------------- streams, over the same tables
 
 

@@ -23,6 +23,14 @@ def read(spark: SparkSession, path: str | Sequence[str], kind: str = "parquet",
     return (r.schema(schema) if schema else r).load(path if isinstance(path, str) else list(path))
 
 
+def open_tables(spark: SparkSession, folder: str, names: Sequence[str], kind: str = "parquet") -> dict[str, DataFrame]:
+    """Tables of a folder by name, to be read only: nothing is registered in the session, so no statement can change them.
+
+    Missing tables are refused at once, before any of them is scanned.
+    """
+    return {n: read(spark, f"{folder.rstrip('/')}/{n}.{kind}", kind) for n in names}
+
+
 def jdbc(spark: SparkSession, url: str, table: str, partition_column: str | None = None, lower: int = 0, upper: int = 0, parts: int = 1, **options: str) -> DataFrame:
     """A database table for a one-time import, read in ranges of a numeric column; needs the driver's jar."""
     r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)

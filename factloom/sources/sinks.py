@@ -21,6 +21,11 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
 
+def enveloped(df: DataFrame, kind: str, name: str = "json") -> DataFrame:
+    """Each row as a JSON text in an envelope: {"status": "ok", "kind": ..., "data": {...}}; readers.unwrapped() takes it off."""
+    return df.select(F.to_json(F.struct(F.lit("ok").alias("status"), F.lit(kind).alias("kind"), F.struct(*df.columns).alias("data"))).alias(name))
+
+
 def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
     """A table whose rows are hashed by keys into buckets, so that joins on them need no shuffle."""
     df.write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
