@@ -17,8 +17,7 @@ POINTER_SIZES = {"byte": 1, "word": 2, "dword": 4, "qword": 8, "xmmword": 16}
 ARGUMENT_REGISTERS = {"rcx": 1, "rdx": 2, "r8": 3, "r9": 4}
 STACK_REGISTERS = ("rsp", "rbp", "esp", "ebp")
 
-_CODE = re.compile(r"\*\(\s*((?:unsigned )?[\w]+(?: \*)?)\s*\*\s*\)\s*\(\s*(\w+)\s*\+\s*(0x[0-9A-Fa-f]+|\d+)\s*\)(\s*=(?!=))?")
-_ARROW = re.compile(r"\*\(\s*(\w+)\s*\+\s*(0x[0-9A-Fa-f]+|\d+)\s*\)(\s*=(?!=))?")
+_CODE = re.compile(r"[A-Za-z_]\w*|0[xX][0-9A-Fa-f]+|\d+|[=!<>]=|[^\s\w]")
 _ASM = re.compile(r"^\s*(\w+)\s+(.*)$")
 _MEMORY = re.compile(r"(?:(byte|word|dword|qword|xmmword)\s+ptr\s+)?\[\s*(\w+)\s*(?:\+\s*([0-9A-Fa-f]+)h?)?\s*\]", re.I)
 _MOVE = re.compile(r"^\s*mov\s+(\w+)\s*,\s*(\w+)\s*$", re.I)
@@ -27,16 +26,39 @@ SCHEMA = "module string, function_id bigint, base string, byte_offset int, size
 
 
 def code_accesses(code: str | None) -> Iterator[tuple[str, int, int, str]]:
-    """(base, offset, size, read or write) of accesses through pointers in decompiled code."""
-    if not code:
-        return
-    seen = set()
-    for m in _CODE.finditer(code):
-        seen.add(m.start())
-        yield m.group(2), int(m.group(3), 0), TYPE_SIZES.get(m.group(1).removeprefix("unsigned "), 8), "write" if m.group(4) else "read"
-    for m in _ARROW.finditer(code):
-        if m.start() not in seen:
-            yield m.group(1), int(m.group(2), 0), 8, "write" if m.group(3) else "read"
+    """(base, offset, size, read or write) of accesses through pointers in decompiled code: *(type *)(base + n), or *(base + n) of pointer size; those with a type come first."""
+    untyped = []
+    t = _CODE.findall(code or "") + [""] * 4
+
+    def sum_at(i: int) -> tuple[str, int, int] | None:
+        """(base, offset, place after it) of a sum in brackets that begins at token i."""
+        base, plus, number, close = t[i : i + 4]
+        if base.isidentifier() and plus == "+" and number[:1].isdigit() and close == ")":
+            return base, int(number, 0) if number[:2].lower() == "0x" else int(number), i + 4
+        return None
+
+    for i in range(len(t) - 4):
+        if t[i] != "*" or t[i + 1] != "(":
+            continue
+        j = i + 2
+        while t[j].isidentifier():
+            j += 1
+        words, stars = t[i + 2 : j], j
+        while t[stars] == "*":
+            stars += 1
+        if words and stars > j and t[stars] == ")" and t[stars + 1] == "(":  # a cast
+            of = " ".join(w for w in words if w != "unsigned") + " *" * (stars - j - 1)
+            found, size = sum_at(stars + 2), TYPE_SIZES.get(of, 8)
+        else:
+            found, size = sum_at(i + 2), None
+        if found:
+            base, offset, after = found
+            access = (base, offset, size or 8, "write" if t[after] == "=" else "read")
+            if size:
+                yield access
+            else:
+                untyped.append(access)
+    yield from untyped
 
 
 def assembly_accesses(code: str | None) -> Iterator[tuple[str, int, int, str]]:
