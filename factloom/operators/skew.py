@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.columns import fresh, own_prefix
+from factloom.session import cut
 
 #: Rows and bytes up to which the right side of lookup_join is broadcast; beyond either, the sharded join is used.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 16_000_000
@@ -71,7 +72,7 @@ def shard_table(left: DataFrame, keys: Sequence[str], tasks: int | None = None,
 
     A key is heavy if it holds over half of a task's even share of rows, so there are fewer than
     2 * tasks heavy keys whatever the input; only those, and one load per task, reach the driver.
-    loads: rows per key, if already known (key columns and a column 'load').  mark: begins the table's names.
+    loads: rows per key, if already known (key columns and a column 'load'; read twice, so give a cut table).  mark: begins the table's names.
     """
     spark = left.sparkSession
     mark = mark or own_prefix(left)
@@ -83,14 +84,11 @@ def shard_table(left: DataFrame, keys: Sequence[str], tasks: int | None = None,
         known = loads.select(*named, F.col("load").cast("double").alias(load))
     else:
         known = left.where(_all_there(keys)).select(*named).groupBy(*k).agg(F.count(F.lit(1)).cast("double").alias(load))
-    known = known.withColumn(seed, F.hash(*k)).persist()
-    try:
-        per_task = {r[0]: (r[1], r[2]) for r in known.groupBy(F.pmod(F.hash(*k, F.lit(0)), F.lit(tasks))).agg(F.sum(load), F.count(F.lit(1))).collect()}
-        total = sum(x for x, _ in per_task.values())
-        share = total / tasks
-        rows = known.where(F.col(load) > share / 2).collect() if tasks > 1 and total else []
-    finally:
-        known.unpersist()
+    known = (cut(known) if loads is None else known).withColumn(seed, F.hash(*k))
+    per_task = {r[0]: (r[1], r[2]) for r in known.groupBy(F.pmod(F.hash(*k, F.lit(0)), F.lit(tasks))).agg(F.sum(load), F.count(F.lit(1))).collect()}
+    total = sum(x for x, _ in per_task.values())
+    share = total / tasks
+    rows = known.where(F.col(load) > share / 2).collect() if tasks > 1 and total else []
     light = [per_task.get(t, (0.0, 0))[0] for t in range(tasks)]
     for r in rows:  # a heavy key's rows leave the place where its hash had put them
         light[int(_murmur_int(np.array([0]), r[seed])[0]) % tasks] -= r[load]
@@ -181,9 +179,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADC
     return r[0] <= rows and r[1] <= most_bytes
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS, spread_by: Sequence[str] = ()) -> DataFrame:
-    """Join with a side that is often small: broadcast if its rows and bytes were counted to be few, else fragment_replicate_join."""
-    if not is_small(right, limit):
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = BROADCAST_ROWS, spread_by: Sequence[str] = (), small: bool | None = None) -> DataFrame:
+    """Join with a side that is often small: broadcast if its rows and bytes were counted to be few, else fragment_replicate_join.
+
+    small: what is_small() said of a table that has at least as many rows and bytes, so that they aren't counted again.
+    """
+    if not (is_small(right, limit) if small is None else small):
         return fragment_replicate_join(left, right, keys, how, spread_by=spread_by)
     mark = own_prefix(left, right)
     taken = {c.lower() for c in left.columns}
