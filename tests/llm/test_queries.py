@@ -16,10 +16,10 @@ def day(n):
 def d(request, spark, tmp_path_factory):
     key = "3::VaultOpen::type_mixup"
     f = [
-        finding(10, key, "Open", 3, score=0.5, verification_status="likely ", updated_at="2025-01-03", evidence_lines_json='["a", " "]', run_id="R2 ", created_at="2025-01-05T00:00:00Z"),
+        finding(10, key, "Open", 3, score=0.5, verification_status="likely ", updated_at="2025-01-03", evidence_lines_json='["a", " "]', run_id="R2 ", created_at="2025-01-05T00:00:00Z", summary="one two three four five six seven eight nine eleven"),
         finding(11, "OPEN::vaultopen()::type mixup", "open", None, score=0.5, verification_status="Confirmed", updated_at=None, evidence_lines_json='"[\\"a\\", \\"b\\"]"', run_id="r1", created_at="1735689600.5"),
         finding(12, None, " j_Open", 3, score=0.9, sink="VaultOpen", source_category="type_mixup", verification_status="pending", updated_at="1735862400", evidence_lines_json="broken [", run_id="lost", created_at=None),
-        finding(13, key, "Open", 3, score=0.5, verification_status="CONFIRMED", updated_at=None, run_id="r1", created_at="2025-01-01T00:00:00.2+00:00"),
+        finding(13, key, "Open", 3, score=0.5, verification_status="CONFIRMED", updated_at=None, run_id="r1", created_at="2025-01-01T00:00:00.2+00:00", summary="One two three four five six seven eight nine ten"),
         finding(20, "1::VaultOpenEx::sign_flip", "Run", 1, score=float("nan")),
         finding(21, "2::VaultOpenEx::sign_flip", "Run", 2, score=0.7),
         finding(22, "1::VaultOpenEx::sign_flip", "Run", None, score=0.7),
@@ -59,6 +59,10 @@ def test_p6(spark, d):
     assert rows(spark, d, "p6_found") == [(10, 13), (11, 13)]
 
 
+def test_p6_near(spark, d):
+    assert [tuple(r) for r in QUERIES["p6_near"](spark, d).collect()] == [(10, 13, 0.9)]
+
+
 def test_p7_p8_p9(spark, d):
     ids = dict(rows(spark, d, "p7_ids"))
     assert ids[2] == [] and ids[3] == [] and len(ids) == 5 and len(ids[4]) > 5000
