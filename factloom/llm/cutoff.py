@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.operators.skew import lookup_join
+from factloom.operators.skew import is_small, lookup_join
 from factloom.session import cut
 
 #: A sketch answers at these many even steps, each within n / ACCURACY ranks.
@@ -33,10 +33,10 @@ def _bracket(rows: DataFrame) -> DataFrame:
     return sk.select("g", "k", F.coalesce(low, F.lit(float("-inf"))).alias("lo"), F.coalesce(high, F.lit(float("inf"))).alias("hi"))
 
 
-def _values(rows: DataFrame, bracket: DataFrame) -> DataFrame:
+def _values(rows: DataFrame, bracket: DataFrame, small: bool) -> DataFrame:
     """Counts by score inside the bracket; scores above it count under one mark each: (g, k, above, s, c)."""
     b = bracket.select("g", "lo", "hi")
-    placed = lookup_join(rows, b, ["g"])
+    placed = lookup_join(rows, b, ["g"], small=small)
     kept = placed.where(F.col("s") >= F.col("lo")).select("g", "k", (F.col("s") > F.col("hi")).alias("above"), F.when(F.col("s") <= F.col("hi"), F.col("s")).alias("s"))
     return kept.groupBy("g", "k", "above", "s").agg(F.count(F.lit(1)).alias("c"))
 
@@ -50,16 +50,18 @@ def cutoffs(records: DataFrame, group: str, score: str, targets: DataFrame, targ
     Other columns, whatever their names, aren't read.
     """
     t = targets.select(F.col(target_group).alias("g"), F.col(fraction).cast("double").alias("f")).where("g IS NOT NULL AND f IS NOT NULL").groupBy("g").agg(F.least(F.greatest(F.max("f"), F.lit(0.0)), F.lit(1.0)).alias("f"))
+    t = cut(t)
+    small = is_small(t.select("g", "f", F.lit(0.0).alias("a"), F.lit(0.0).alias("b")))  # what is joined below has a row per target and as many columns at most
     s = F.col(score).cast("double")
-    rows = lookup_join(records.select(F.col(group).alias("g"), F.when(~F.isnan(s), s).alias("s")).where("g IS NOT NULL AND s IS NOT NULL"), t, ["g"])
+    rows = lookup_join(records.select(F.col(group).alias("g"), F.when(~F.isnan(s), s).alias("s")).where("g IS NOT NULL AND s IS NOT NULL"), t, ["g"], small=small)
     rows = cut(rows)
     sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("scored"), F.min("f").alias("f"))
     need = F.greatest(F.lit(1), F.ceil(F.col("f").cast("decimal(18,15)") * F.col("scored"))).cast("bigint")
     sizes = cut(sizes.select("g", "scored", "f", need.alias("k")))
-    inside = lookup_join(rows.select("g", "s"), sizes.select("g", "k"), ["g"]).select("g", "s", "k")
+    inside = lookup_join(rows.select("g", "s"), sizes.select("g", "k"), ["g"], small=small).select("g", "s", "k")
     done_above = None
     while True:
-        values = cut(_values(inside, _bracket(inside)))
+        values = cut(_values(inside, _bracket(inside), small))
         above = values.where("above").groupBy("g").agg(F.sum("c").alias("a"))
         widest = values.where("NOT above").groupBy("g").count().agg(F.max("count")).first()[0]
         if widest is None or widest <= SORTED_VALUES:
@@ -67,7 +69,7 @@ def cutoffs(records: DataFrame, group: str, score: str, targets: DataFrame, targ
         # narrow once more: what lies above is counted, what is left is ranked among itself
         done_above = above if done_above is None else done_above.union(above).groupBy("g").agg(F.sum("a").alias("a"))
         keep = _bracket(inside).select("g", "lo", "hi")
-        nxt = lookup_join(lookup_join(inside, keep, ["g"]), above, ["g"], "left")
+        nxt = lookup_join(lookup_join(inside, keep, ["g"], small=small), above, ["g"], "left", small=small)
         inside = cut(nxt.where("s >= lo AND s <= hi").select("g", "s", (F.col("k") - F.coalesce("a", F.lit(0))).alias("k")))
     order = W.partitionBy("g").orderBy(F.col("s").desc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     ranked = values.withColumn("cum", F.sum("c").over(order)).where("NOT above AND cum >= k")
