@@ -60,7 +60,7 @@ def test_p6(spark, d):
 
 
 def test_p6_near(spark, d):
-    assert [tuple(r) for r in QUERIES["p6_near"](spark, d).collect()] == [(10, 13, 0.9)]
+    assert [tuple(r) for r in QUERIES["p6_near"](spark, d).collect()] == [(10, 13, 0.9, 1)]
 
 
 def test_p7_p8_p9(spark, d):
