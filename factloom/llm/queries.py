@@ -9,7 +9,7 @@ from factloom.columns import computed, table, unit_number
 from factloom.functions.cleaning import function_number, micros, module_key, name_key, slug, strip_blank
 from factloom.llm.cutoff import cutoffs, valid_interest
 from factloom.llm.oracles import ORACLES
-from factloom.llm.segments import END, near_repeats, nearest, repeats
+from factloom.llm.segments import END, near_repeats, repeats
 from factloom.llm.survivor import MAX_VALUES, current_value, declared_precedence, learn_precedence, survivor_ids, topological_rank, with_evidence_lines
 from factloom.llm.topn import bucket, ranked, survivors
 from factloom.operators.skew import lookup_join
@@ -111,12 +111,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_near(spark: SparkSession, d: str) -> DataFrame:
-    """Findings whose summary is a near copy of one that an earlier run, or an earlier row of its run, stored: the best such one, its coverage, and how many there are."""
+    """Findings whose summary is a near copy of one that an earlier run, or an earlier row of its run, stored: a row for each such summary, under the id of its first row, with the coverage and how many there are.  Copies count as near."""
     run = lambda c: F.lower(strip_blank(F.col(c)))
     runs = table(spark, d, "scan_runs").select(run("run_id").alias("run"), F.unix_micros("started_at").alias("started")).where("run IS NOT NULL AND run <> ''").groupBy("run").agg(F.min("started").alias("started"))
     rows = table(spark, d, "findings").select("id", "summary", run("run_id").alias("run"), micros(F.col("created_at")).alias("created"))
     rows = lookup_join(rows, runs, ["run"], spread_by=["id"])
-    return near_repeats(rows, "summary", ["started", "created"], "id", fold=nearest)
+    return near_repeats(rows, "summary", ["started", "created"], "id", each=True)
 
 
 # Tokenizers and character properties are imported where they are used: the other queries don't need their libraries.

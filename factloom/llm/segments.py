@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -335,54 +335,67 @@ def covered_words(qh: pa.Array, th: pa.Array, size: int = WORDS) -> np.ndarray:
     return np.bincount(r, gain, minlength=len(qh)).astype(np.int64)
 
 
-def near_repeats(rows: DataFrame, text: str, order: Sequence[str], ident: str, store: Store | None = None, share: float = SHARE, size: int = WORDS, fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_repeats(rows: DataFrame, text: str, order: Sequence[str], ident: str, store: Store | None = None, share: float = SHARE, size: int = WORDS, fold: Callable[[DataFrame], DataFrame] | None = None, each: bool = False) -> DataFrame:
     """(id, stored_id, coverage): earlier texts, stored or new, that cover at least the share of a new text's words by windows they have in common.
 
     One row per pair of different texts, each under the id of its first row; copies of a text are no pairs
-    (see repeats()), and texts of fewer words than a window have none.  Every such pair comes out.  Candidates come from a
+    (see repeats()).  A text of fewer words than a window is one window of its own.  Every such pair comes out.  Candidates come from a
     binary search of each text's rarest windows (probes_of) in the segments of all batches so far; then all
     windows of both texts are compared.  Windows of very many probes are spread over several shards.
-    Null, empty and blank texts are left out.  Texts and segments are added to the store.  fold: makes of the pairs what is
+    Null, empty and blank texts are left out.  Texts and segments are added to the store, if one is given.  fold: makes of the pairs what is
     kept, such as nearest(), before they are written.
+
+    each: (id, stored_id, coverage, links) instead, one row per row of these and different text that an earlier row has, its own text (coverage 1)
+    among them; a text is told by the id of its first row.  So copies of a text have their links too, also to texts stored
+    after its first row.  links: how many rows the id has.
     """
+    if each and fold:
+        raise ValueError("fold is for pairs of texts")
     spark = rows.sparkSession
-    store = store or Store(spark)
     id_type = rows.schema[ident].dataType
     o = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(ident).alias("rec"))
-    firsts = rows.where(F.col(text).rlike(r"\S")).groupBy(F.col(text).alias("text")).agg(F.min(o).alias("o"))
-    known = store.tables("texts")
+    rows = rows.where(F.col(text).rlike(r"\S")).select(F.col(text).alias("text"), F.col(ident).alias("id"), o.alias("at"))
+    told = rows.groupBy("text").agg(F.min("at").alias("o"), F.max("at").alias("last"), F.count(F.lit(1)).alias("load"))
+    told = cut(told) if each else told.withColumn("last", F.col("o"))
+    firsts, known = told, store.tables("texts") if store else []
     for t in known:
         firsts = lookup_join(firsts, t.select("text"), ["text"], "left_anti", spread_by=["text"])
-    firsts = firsts.select(F.col("o.rec").alias("rec"), "o", "text")
+    firsts = firsts.select(F.col("o.rec").alias("rec"), "o", "text", "last", "load")
     made = T.StructType([*firsts.schema.fields, T.StructField("words", T.ArrayType(T.StringType())), T.StructField("hs", T.ArrayType(T.LongType()))])
 
     def split(batches):
         for b in batches:
             words = [words_of(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.list_(pa.string())), pa.array([windows_of(w, size) if len(w) >= size else [] for w in words], pa.list_(pa.int64()))], names=made.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(words, pa.list_(pa.string())), pa.array([windows_of(w, size) for w in words], pa.list_(pa.int64()))], names=made.names)
 
     new = cut(firsts.mapInArrow(split, made))
-    entry = lambda t: t.select("rec", F.col("o.o0").alias("batch"), F.size("words").alias("n"), "words", F.posexplode("hs").alias("i", "h")).select("rec", "batch", "n", "i", "h", F.array_join(F.slice("words", F.col("i") + 1, size), " ").alias("suffix"))
-    mine = entry(new)
-    old = store.tables("windows")
+    asking = new  # the texts that look others up: with each, stored ones that come again, too
+    for t in known if each else []:
+        again = lookup_join(t.select("rec", "text", "words", "hs"), told.select("text", "last", "load"), ["text"], spread_by=["rec"])
+        asking = asking.unionByName(again.withColumn("o", F.lit(None).cast(new.schema["o"].dataType)))
+    asking = cut(asking) if known and each else asking
+    entry = lambda t, at: t.select("rec", F.col(f"{at}.o0").alias("batch"), F.size("words").alias("n"), "words", F.posexplode("hs").alias("i", "h")).select("rec", "batch", "n", "i", "h", F.array_join(F.slice("words", F.col("i") + 1, size), " ").alias("suffix"))
+    mine, asked = entry(new, "o"), entry(asking, "last")
+    old = store.tables("windows") if store else []
     old_windows = None
     for g, t in enumerate(old):
-        t = lookup_join(t, mine.select("h").distinct(), ["h"], "left_semi", spread_by=["rec", "i"]).withColumn("seg", F.lit(g))
+        t = lookup_join(t, asked.select("h").distinct(), ["h"], "left_semi", spread_by=["rec", "i"]).withColumn("seg", F.lit(g))
         old_windows = t if old_windows is None else old_windows.unionByName(t)
     old_windows = cut(old_windows) if old_windows is not None else None
     # in how many records each window is
     seen = mine.select("h", "rec").distinct()
     seen = seen if old_windows is None else seen.unionByName(old_windows.select("h", "rec").distinct())
     weight = cut(seen.groupBy("h").agg(F.count(F.lit(1)).alias("w")).where("w > 1"))
-    weighed = fragment_replicate_join(mine.select("rec", "n", "i", "h"), weight, ["h"], "left", loads=weight.select("h", F.col("w").alias("load")), spread_by=["rec", "i"])
+    weighed = fragment_replicate_join(asked.select("rec", "n", "i", "h"), weight, ["h"], "left", loads=weight.select("h", F.col("w").alias("load")), spread_by=["rec", "i"])
     chosen = weighed.groupBy("rec", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("w", F.lit(1)).alias("w")))), lambda x: x["w"]).alias("ws"))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def choose(ws: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([probes_of(w, k, share, size) for w, k in zip(ws, n)])
 
-    probed = chosen.select("rec", F.explode(choose("ws", "n")).alias("i"))
-    probes = cut(fragment_replicate_join(mine.select("rec", "batch", "i", "h", "suffix"), probed, ["rec", "i"], "left_semi", spread_by=["rec", "i"]).join(weight, "h"))
+    probed = chosen.select("rec", "ws", F.explode(choose("ws", "n")).alias("i")).select("rec", "i", F.element_at("ws", F.col("i") + 1).alias("w"))
+    probed = probed.join(asking.select("rec", F.col("last.o0").alias("batch"), "words", "hs"), "rec")
+    probes = cut(probed.select("rec", "batch", "w", F.element_at("hs", F.col("i") + 1).alias("h"), F.array_join(F.slice("words", F.col("i") + 1, size), " ").alias("suffix")))
     salts = F.ceil(F.col("w") / PER_WINDOW).cast("int")
     wanted = cut(probes.groupBy("h").agg(F.max(salts).alias("salts")))
     shards = _shards(spark, probes.count())
@@ -413,31 +426,50 @@ def near_repeats(rows: DataFrame, text: str, order: Sequence[str], ident: str, s
                 history.add(Segment.of(entries))
             for rec, s, n in group:
                 if n:
-                    for t in {r for r, _ in history.matches(s + END, len(s))}:
+                    for t in {r for r, _ in history.matches(s + END, len(s) + 1)}:
                         if t != rec:
                             yield rec, t
 
-    found = sent.mapInArrow(_by_shard(work, pair), pair).distinct()
+    found = sent.mapInArrow(_by_shard(work, pair), pair).repartition("q").distinct()
     texts = new.select("rec", "o", "hs")
     for t in known:
         texts = texts.unionByName(t.select("rec", "hs").withColumn("o", F.lit(None).cast(new.schema["o"].dataType)))  # stored ones come first
-    a = found.join(new.select(F.col("rec").alias("q"), F.col("o").alias("qo"), F.size("words").alias("n"), F.col("hs").alias("qh")), "q")
+    a = found.join(asking.select(F.col("rec").alias("q"), "last", F.size("words").alias("n"), F.col("hs").alias("qh")), "q")
     b = a.join(texts.select(F.col("rec").alias("t"), F.col("o").alias("to"), F.col("hs").alias("th")), "t")
-    b = b.where(F.col("to").isNull() | (F.col("to") < F.col("qo"))).select("q", "t", "n", "qh", "th")
-    counted = T.StructType([*pair.fields, T.StructField("n", T.IntegerType()), T.StructField("c", T.LongType())])
+    b = b.where(F.col("to").isNull() | (F.col("to") < F.col("last"))).select("q", "t", "n", "to", "qh", "th")
+    counted = T.StructType([*pair.fields, T.StructField("n", T.IntegerType()), T.StructField("to", new.schema["o"].dataType), T.StructField("c", T.LongType())])
 
     def compare(batches):
         for x in batches:
-            yield pa.RecordBatch.from_arrays([*x.columns[:3], pa.array(covered_words(x.column(3), x.column(4), size), pa.int64())], names=counted.names)
-
-    pairs = b.mapInArrow(compare, counted).where(F.col("c") >= F.col("n") * share)
-    pairs = pairs.select(F.col("q").alias("id"), F.col("t").alias("stored_id"), F.round(F.col("c") / F.col("n"), 6).alias("coverage"))
-    pairs = cut(fold(pairs) if fold else pairs)  # before the store changes
-    store.add("windows", mine.select("h", "suffix", "rec", "i").repartition("h").sortWithinPartitions("suffix"), sort=("h", "suffix"))
-    store.add("texts", new)
+            yield pa.RecordBatch.from_arrays([*x.columns[:4], pa.array(covered_words(x.column(4), x.column(5), size), pa.int64())], names=counted.names)
+
+    c = F.least("c", "n")  # the one window of a short text counts as many words as it has
+    pairs = b.mapInArrow(compare, counted).where(c >= F.col("n") * share - 1e-9).select("q", "t", "to", F.round(c / F.col("n"), 6).alias("coverage"))
+    if each:
+        pairs = _of_each_row(rows, asking, pairs)
+    else:
+        pairs = pairs.select(F.col("q").alias("id"), F.col("t").alias("stored_id"), "coverage")
+        pairs = fold(pairs) if fold else pairs
+    if store:
+        pairs = cut(pairs)  # before the store changes
+        store.add("windows", mine.select("h", "suffix", "rec", "i").repartition("h").sortWithinPartitions("suffix"), sort=("h", "suffix"))
+        store.add("texts", new.select("rec", "o", "text", "words", "hs"))
     return pairs
 
 
+def _of_each_row(rows: DataFrame, asking: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, stored_id, coverage, links) of each row, given its text's pairs (q, t, to, coverage), whatever row's order they hold for.
+
+    Rows of a text are spread by their number, so a text of very many rows takes several tasks, each with the text's pairs.
+    """
+    loads = asking.select("text", "load")
+    members = fragment_replicate_join(rows, asking.select("text", F.col("rec").alias("q")), ["text"], loads=loads, spread_by=["id"]).select("q", "id", "at")
+    own = asking.where("load > 1 OR o IS NULL").select(F.col("rec").alias("q"), F.col("rec").alias("t"), F.col("o").alias("to"), F.lit(1.0).alias("coverage"))
+    links = fragment_replicate_join(members, pairs.unionByName(own), ["q"], loads=asking.select(F.col("rec").alias("q"), "load"), keep_shard="shard", spread_by=["id"])
+    links = links.where((F.col("to").isNull() | (F.col("to") < F.col("at"))) & (F.col("id") != F.col("t")))
+    return links.select("id", F.col("t").alias("stored_id"), "coverage", F.count(F.lit(1)).over(Window.partitionBy("q", "shard", "id")).alias("links"))
+
+
 def nearest(pairs: DataFrame) -> DataFrame:
     """(id, stored_id, coverage, links): one row per text, with the stored text that covers it best (of equal ones the least id), and how many do."""
     best = F.max_by(F.struct("stored_id", "coverage"), F.struct("coverage", -F.col("stored_id")))

@@ -63,6 +63,16 @@ def test_p6_near(spark, d):
     assert [tuple(r) for r in QUERIES["p6_near"](spark, d).collect()] == [(10, 13, 0.9, 1)]
 
 
+def test_p6_near_leaves_out_no_link(spark, tmp_path):
+    """Every stored summary that covers one comes out, not the best alone; copies of a summary have theirs."""
+    def f(id, summary, created):
+        return finding(id, run_id="r1", created_at=f"2025-01-0{created}T00:00:00Z", summary=summary)
+
+    made = [f(1, "one two three four five six seven eight nine ten", 1), f(2, "one two three four five six seven eight nine eleven", 2), f(3, "one two three four five six seven eight nine twelve", 3), f(4, "one two three four five six seven eight nine ten", 4), f(5, "no link", 5), f(6, "No link", 6)]
+    d = folder(spark, tmp_path, findings=made, scan_runs=[("r1", "a.dll", "ok", day(1))])
+    assert rows(spark, d, "p6_near") == [(2, 1, 0.9, 1), (3, 1, 0.9, 2), (3, 2, 0.9, 2), (4, 1, 1.0, 3), (4, 2, 0.9, 3), (4, 3, 0.9, 3), (6, 5, 1.0, 1)]
+
+
 def test_p7_p8_p9(spark, d):
     ids = dict(rows(spark, d, "p7_ids"))
     assert ids[2] == [] and ids[3] == [] and len(ids) == 5 and len(ids[4]) > 5000

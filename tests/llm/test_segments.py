@@ -163,3 +163,41 @@ def test_near_copies(spark, planted, tmp_path):
         parts |= {(r["id"], r["stored_id"]) for r in part.collect()}
     assert parts == want
     assert near_repeats(spark.createDataFrame([], schema), "t", ["batch", "at"], "id").count() == 0
+
+
+def near_rows(data, share=0.8):
+    """Brute force: each row with each different text that an earlier row has, its own among them."""
+    low = lambda v: -1 if v is None else v
+    first, out = {}, {}
+    for t, b, a, i in sorted((x for x in data if x[0] and x[0].strip()), key=lambda x: (low(x[1]), low(x[2]), x[3])):
+        w = words_of(t)
+        h = windows_of(w)
+        for s, (j, g) in first.items():
+            c = 1.0 if s == t else min(len(w), covered([(k, k + 5) for k, x in enumerate(h) if x in g])) / len(w) if w else 0
+            if c >= share - 1e-9:
+                out[i, j] = round(c, 6)
+        first.setdefault(t, (i, set(h)))
+    return out
+
+
+def test_each_row_has_all_its_near_copies(spark, planted, tmp_path):
+    """Copies have links of their own, also to texts stored after their first row; short texts are one window; batches give what the whole gives."""
+    data = [*planted[0], *[(t, 2 + i % 5, 50, 8000 + i) for i, (t, _, _, _) in enumerate(planted[0][:60])]]
+    data += [("Too short!", 0, 9, 9000), ("???", 0, 0, 9001), ("???", 5, 0, 9002), ("hot text of many rows here", 0, 0, 9100), ("hot text of many rows there", 3, 0, 9101)] + [("hot text of many rows here", i % 7, i, 9200 + i) for i in range(200)]
+    schema = "t string, batch int, at int, id bigint"
+    want = near_rows(data)
+    assert {(9101, 9100), (9206, 9101), (9002, 9001), (5000, 9000)} <= set(want) and (9203, 9101) in want and (9202, 9101) not in want
+    links = {i: sum(x == i for x, _ in want) for i, _ in want}
+
+    def told(found):
+        rows = found.collect()
+        assert len({(r["id"], r["stored_id"]) for r in rows}) == len(rows)
+        return {(r["id"], r["stored_id"]): (r["coverage"], r["links"]) for r in rows}
+
+    asked = {k: (c, links[k[0]]) for k, c in want.items()}
+    assert told(near_repeats(spark.createDataFrame(data, schema), "t", ["batch", "at"], "id", each=True)) == asked
+    store, parts = Store(spark, str(tmp_path / "each")), {}
+    for b in ([0, 1], [2, 3], [4, 5, 6]):
+        parts |= told(near_repeats(spark.createDataFrame([x for x in data if x[1] in b], schema), "t", ["batch", "at"], "id", store, each=True))
+    assert parts == asked
+    assert near_repeats(spark.createDataFrame([], schema), "t", ["batch", "at"], "id", each=True).count() == 0
